@@ -1,0 +1,20 @@
+"""Binary search in a sorted array column."""
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def count_not_above(bounds: Column, value: Column, max_size: int) -> Column:
+    """How many elements of the sorted array ``bounds`` are <= ``value``.
+
+    Logarithmic: tries jumps of falling powers of two, so ``max_size`` must be at least
+    the longest array's size.
+    """
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, max_size).bit_length()))])
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: F.when(
+            (at + step <= F.size(bounds)) & (F.get(bounds, at + step - 1) <= value), at + step
+        ).otherwise(at),
+    )
