@@ -78,6 +78,6 @@ def sample_ids(spark: SparkSession, first: int, end: int, percentage: int = 100,
     drawn = F.slice(
         F.array_sort(F.transform(
             F.sequence(F.col("id"), last),
-            lambda i: F.struct(F.md5(F.concat(i.cast("string"), F.lit(f"-{seed}")).cast("binary")), i))),
+            lambda i: F.struct(F.md5(F.concat(i.cast("string"), F.lit(f"-{seed}")).cast("binary")), i.alias("id")))),
         1, percentage)
-    return blocks.select(F.explode(drawn).alias("draw")).select(F.col("draw.i").alias("id"))
+    return blocks.select(F.explode(drawn).alias("draw")).select(F.col("draw.id"))

@@ -1,8 +1,16 @@
-"""Declared schemas of the inputs; nothing is inferred."""
+"""Declared schemas of the inputs; nothing is inferred.
+
+Functions, since parsing a schema text needs an active session.
+"""
+
+from functools import cache
 
 from pyspark.sql.types import StructType
 
-ACCOUNT = StructType.fromDDL("""
+
+@cache
+def account() -> StructType:
+    return StructType.fromDDL("""
     id bigint, id_str string, screen_name string, created_at string, lang string,
     protected boolean, verified boolean, geo_enabled boolean, default_profile boolean,
     followers_count bigint, friends_count bigint, favourites_count bigint,
@@ -13,11 +21,13 @@ _ENTITIES = """struct<
     hashtags: array<struct<text: string>>,
     urls: array<struct<url: string>>,
     user_mentions: array<struct<id: bigint, id_str: string>>>"""
-
 _BRIEF_USER = "struct<id: bigint, screen_name: string, lang: string>"
 
-# One post as delivered; a stream carries these without the per-account nesting.
-POST = StructType.fromDDL(f"""
+
+@cache
+def post() -> StructType:
+    """One post as delivered; a stream carries these without the per-account nesting."""
+    return StructType.fromDDL(f"""
     created_at string, id bigint, text string, source string, lang string, truncated boolean,
     in_reply_to_status_id bigint, in_reply_to_user_id bigint, in_reply_to_user_id_str string,
     in_reply_to_screen_name string, contributors string,
@@ -39,20 +49,32 @@ POST = StructType.fromDDL(f"""
     possibly_sensitive boolean, extended_entities string
 """)
 
-# One record per account with its posts nested.
-TIMELINE = StructType.fromDDL(
-    f"id bigint, id_str string, screen_name string, tweets array<{POST.simpleString()}>")
 
-TRAINING_ACCOUNT = StructType.fromDDL("""
+@cache
+def timeline() -> StructType:
+    """One record per account with its posts nested."""
+    return StructType.fromDDL(
+    f"id bigint, id_str string, screen_name string, tweets array<{post().simpleString()}>")
+
+
+@cache
+def training_account() -> StructType:
+    return StructType.fromDDL("""
     id bigint, id_str string, screen_name string, lang string,
     protected int, verified int, geo_enabled int, default_profile int,
     followers_count bigint, friends_count bigint, favourites_count bigint,
     statuses_count bigint, listed_count bigint, timestamp string, updated string
 """)
 
-FOLLOWER = StructType.fromDDL("target bigint, position bigint, created_date string")
 
-WORK_ITEM = StructType.fromDDL("""
+@cache
+def follower() -> StructType:
+    return StructType.fromDDL("target bigint, position bigint, created_date string")
+
+
+@cache
+def work_item() -> StructType:
+    return StructType.fromDDL("""
     id bigint, id_str string, screen_name string, created_date timestamp, found_date timestamp,
     fetched_tweets_date timestamp, fetched_tweets boolean, protected boolean, tweet_count bigint,
     source string, language string

@@ -23,17 +23,17 @@ def _json(spark: SparkSession, path: str | list[str], schema: StructType,
 
 def read_accounts(spark: SparkSession, path: str | list[str], spread: int | None = None) -> DataFrame:
     """Collected account records, with the file each came from."""
-    return _json(spark, path, schemas.ACCOUNT, spread)
+    return _json(spark, path, schemas.account(), spread)
 
 
 def read_timelines(spark: SparkSession, path: str | list[str], spread: int | None = None) -> DataFrame:
     """Collected posts, nested per account."""
-    return _json(spark, path, schemas.TIMELINE, spread)
+    return _json(spark, path, schemas.timeline(), spread)
 
 
 def read_posts(spark: SparkSession, path: str | list[str], spread: int | None = None) -> DataFrame:
     """Single posts, one per line, as a stream dump holds them."""
-    return _json(spark, path, schemas.POST, spread)
+    return _json(spark, path, schemas.post(), spread)
 
 
 def read_training_accounts(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -43,7 +43,7 @@ def read_training_accounts(spark: SparkSession, path: str | list[str]) -> DataFr
     return header.select(*[
         (F.col(f.name).try_cast(f.dataType) if f.name in header.columns
          else F.lit(None).cast(f.dataType)).alias(f.name)
-        for f in schemas.TRAINING_ACCOUNT.fields
+        for f in schemas.training_account().fields
     ])
 
 
@@ -64,5 +64,5 @@ def read_followers(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     The order is in ``position``: Spark keeps no line order across a file's splits.
     """
-    rows = spark.read.option("header", True).schema(schemas.FOLLOWER).csv(path)
+    rows = spark.read.option("header", True).schema(schemas.follower()).csv(path)
     return rows.select("target", "position", F.col("created_date").alias("created_day"))

@@ -20,7 +20,7 @@ SOURCE = "stream"
 
 def read_post_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A folder that post files are added to, as a stream."""
-    reader = spark.readStream.schema(schemas.POST)
+    reader = spark.readStream.schema(schemas.post())
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.json(path)
@@ -82,14 +82,14 @@ class AccountStore:
             return self.spark.createDataFrame([], schema)
 
     def work_list(self) -> DataFrame:
-        schema = StructType([*schemas.WORK_ITEM.fields, StructField("batch", LongType())])
+        schema = StructType([*schemas.work_item().fields, StructField("batch", LongType())])
         return self._read(schema, lambda r: r.parquet(self.work))
 
     def fetched_ids(self) -> DataFrame:
         return self._read(StructType.fromDDL("id bigint"), lambda r: r.parquet(self.fetched))
 
     def all_records(self) -> DataFrame:
-        return self._read(schemas.ACCOUNT, lambda r: r.json(self.records))
+        return self._read(schemas.account(), lambda r: r.json(self.records))
 
     def add(self, accounts: DataFrame, batch_id: int, found_date: Column | None = None) -> None:
         """Store the accounts of a micro-batch that no other batch has stored."""
@@ -97,9 +97,9 @@ class AccountStore:
         fresh = unseen(accounts.dropDuplicates(["id"]), earlier)
         fresh = fresh.select(*[
             (F.col(f.name) if f.name in fresh.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schemas.ACCOUNT.fields])
+            for f in schemas.account().fields])
         fresh.write.mode("overwrite").option("compression", "gzip").json(f"{self.records}/batch={batch_id}")
-        written = self.spark.read.schema(schemas.ACCOUNT).json(f"{self.records}/batch={batch_id}")
+        written = self.spark.read.schema(schemas.account()).json(f"{self.records}/batch={batch_id}")
         account_summary(written, found_date).write.mode("overwrite").parquet(f"{self.work}/batch={batch_id}")
 
     def mark_fetched(self, ids: DataFrame) -> None:
