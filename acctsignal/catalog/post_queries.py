@@ -21,9 +21,10 @@ LINKED = """
       lag(longitude) over w as previous_lon, row_number() over w as nth
     from tweets window w as (partition by user_id order by tweet_ts_long, tweet_id)),
   distances as (
-    select *, 2 * 6371.009 / 1.609344 * asin(sqrt(least(1.0,
-      pow(sin(radians(latitude - previous_lat) / 2), 2) + cos(radians(previous_lat))
-      * cos(radians(latitude)) * pow(sin(radians(longitude - previous_lon) / 2), 2)))) as miles
+    select *, case when latitude is not null and previous_lat is not null then
+      2 * 6371.009 / 1.609344 * asin(sqrt(least(1.0,
+        pow(sin(radians(latitude - previous_lat) / 2), 2) + cos(radians(previous_lat))
+        * cos(radians(latitude)) * pow(sin(radians(longitude - previous_lon) / 2), 2)))) end as miles
     from linked)"""
 
 

@@ -62,12 +62,16 @@ def nest_posts(posts: DataFrame, account: list[str], post: list[str], order: lis
                limit: int = TIMELINE_LENGTH) -> DataFrame:
     """One row per account with its newest ``limit`` posts as an array, newest first.
 
-    The limit comes before the arrays are built, so none outgrows it.
+    ``account`` is the key and what else the record says of the account, taken from the
+    newest post. The limit comes before the arrays are built, so none outgrows it.
     """
-    newest = newest_per_key(posts, account[:1], order, limit)
+    key, *others = account
+    newest = newest_per_key(posts, [key], order, limit)
+    at = F.struct(*order)
     entry = F.struct(*[F.col(c) for c in dict.fromkeys([*order, *post])])
-    tweets = F.reverse(F.array_sort(F.collect_list(entry)))
-    return newest.groupBy(*account).agg(tweets.alias("tweets"))
+    return newest.groupBy(key).agg(
+        *[F.max_by(c, at).alias(c) for c in others],
+        F.reverse(F.array_sort(F.collect_list(entry))).alias("tweets"))
 
 
 def flatten_posts(posts: DataFrame, with_original: bool = False) -> DataFrame:

@@ -20,25 +20,33 @@ MAX_ROWS_PER_SLICE = 20_000_000
 SAMPLES_PER_SLICE = 64
 
 
+def long_keys(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_ROWS_PER_SLICE) -> DataFrame | None:
+    """The keys with more than ``max_rows`` rows, at most rows/max_rows; None if there are none.
+
+    Runs one count per key, which reads the key columns only.
+    """
+    found = df.groupBy(*keys).count().where(F.col("count") > max_rows).select(*keys).collect()
+    return df.sparkSession.createDataFrame(found, df.select(*keys).schema) if found else None
+
+
 def cut_long_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                   max_rows: int = MAX_ROWS_PER_SLICE) -> DataFrame | None:
     """Rows with a ``slice`` number, 0 for ordinary keys and rising along ``order`` in long
     ones (``is_long``); None if no key has more than ``max_rows`` rows.
 
-    Runs one count per key. At most rows/max_rows keys are long and all of them together get
-    about rows/max_rows cuts, which bounds what is fetched here and broadcast later.
+    All long keys together get about rows/max_rows cuts, which bounds what is fetched here
+    and broadcast later. Rows that are equal in all of ``order`` stay in one slice.
     """
     spark = df.sparkSession
-    long_keys = df.groupBy(*keys).count().where(F.col("count") > max_rows).select(*keys).collect()
-    if not long_keys:
+    long = long_keys(df, keys, max_rows)
+    if long is None:
         return None
 
     position = F.struct(*order)
-    long_table = spark.createDataFrame(long_keys, df.select(*keys).schema)
     one_in = max(1, max_rows // SAMPLES_PER_SLICE)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("at"))
     cuts = (
-        df.join(F.broadcast(long_table), list(keys), "left_semi")
+        df.join(F.broadcast(long), list(keys), "left_semi")
         .where(F.pmod(F.xxhash64(*order), F.lit(one_in)) == 0)
         .select(*keys, position.alias("at"))
         .distinct()
@@ -47,9 +55,9 @@ def cut_long_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         .select(*keys, "at")
     )
     found = spark.createDataFrame(cuts.collect(), cuts.schema)
-    table = long_table.join(
-        found.groupBy(*keys).agg(F.array_sort(F.collect_list("at")).alias("cuts")), list(keys), "left"
-    ).withColumn("cuts", F.coalesce("cuts", F.array().cast(f"array<{cuts.schema['at'].dataType.simpleString()}>")))
+    listed = found.groupBy(*keys).agg(F.array_sort(F.collect_list("at")).alias("cuts"))
+    none = F.array().cast(listed.schema["cuts"].dataType)
+    table = long.join(listed, list(keys), "left").withColumn("cuts", F.coalesce("cuts", none))
     most = table.agg(F.max(F.size("cuts"))).first()[0]
     return (
         df.join(F.broadcast(table), list(keys), "left")
@@ -92,14 +100,19 @@ def add_neighbour(df: DataFrame, keys: Sequence[str], slice_col: str, order: Seq
     )
 
 
-def add_previous(df: DataFrame, key: str, order: Sequence[str], value: Column, name: str,
+def add_previous(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], name: str,
                  max_rows: int = MAX_ROWS_PER_SLICE) -> DataFrame:
-    """Add the previous row's ``value`` per ``key``: a plain ``lag`` unless a key is long."""
+    """Add the struct ``name`` of the previous row's ``columns`` per ``key``; NULL in first rows.
+
+    A plain ``lag`` unless a key is long.
+    """
     sliced = cut_long_keys(df, [key], order, max_rows)
     if sliced is None:
-        return df.withColumn(name, F.lag(value).over(Window.partitionBy(key).orderBy(*order)))
+        window = Window.partitionBy(key).orderBy(*order)
+        before = F.struct(*[F.lag(c).over(window).alias(c) for c in columns])
+        return df.withColumn(name, F.when(F.lag(F.lit(True)).over(window), before))
     return add_neighbour(
-        sliced, [key], "slice", order, value, name, border_rows=sliced.where("is_long")
+        sliced, [key], "slice", order, F.struct(*columns), name, border_rows=sliced.where("is_long")
     ).drop("slice", "is_long")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from acctsignal.functions import great_circle_miles, post_time, rate
 from acctsignal.operators.account import check_mode
 from acctsignal.operators.features import Feature, renamed, with_features
-from acctsignal.operators.ordered import MAX_ROWS_PER_SLICE, add_previous
+from acctsignal.operators.ordered import MAX_ROWS_PER_SLICE, add_previous, long_keys
 
 ENTITIES = ("urls", "hashtags", "users_mentioned")
 
@@ -82,18 +82,18 @@ def post_features(posts: DataFrame, mode: str = "unknown") -> DataFrame:
 def reply_times_from_parents(posts: DataFrame) -> DataFrame:
     """Fill ``replied_status_tweet_created_at`` from the parent post where it is in the data.
 
-    Popular parents are unique on their side of the join, so adaptive execution can split
-    their many replies.
+    Parents are unique on their side of the join, so adaptive execution can split the many
+    replies to a popular one. Posts that are no replies get a key of their own, a negative
+    one, so they do not all land where NULL hashes to.
     """
-    parents = (
-        posts.groupBy(F.col("tweet_id").alias("in_reply_to_status_id"))
-        .agg(F.min("tweet_created_at").alias("_parent_created_at"))
-    )
+    parents = posts.groupBy(F.col("tweet_id").alias("_parent")).agg(
+        F.min("tweet_created_at").alias("_parent_created_at"))
     return (
-        posts.join(parents, "in_reply_to_status_id", "left")
+        posts.withColumn("_parent", F.coalesce("in_reply_to_status_id", -1 - F.col("tweet_id")))
+        .join(parents, "_parent", "left")
         .withColumn("replied_status_tweet_created_at",
                     F.coalesce("replied_status_tweet_created_at", "_parent_created_at"))
-        .drop("_parent_created_at")
+        .drop("_parent", "_parent_created_at")
     )
 
 
@@ -108,8 +108,8 @@ def sequence_features(posts: DataFrame, compat: bool = False,
 
     The first post has none; ``compat`` gives it the epoch as its predecessor's time.
     """
-    before = F.struct("tweet_ts_long", "latitude", "longitude")
-    linked = add_previous(posts, "user_id", POST_ORDER, before, "_before", max_rows)
+    linked = add_previous(posts, "user_id", POST_ORDER, ["tweet_ts_long", "latitude", "longitude"],
+                          "_before", max_rows)
     previous = F.col("_before.tweet_ts_long")
     if compat:
         previous = F.when(F.col("_before").isNull(), F.lit(0)).otherwise(previous)
@@ -214,7 +214,20 @@ def duplicate_texts(posts: DataFrame) -> DataFrame:
 
 
 def mean_distance(posts: DataFrame, max_rows: int = MAX_ROWS_PER_SLICE) -> DataFrame:
-    """Mean miles between neighbouring geotagged posts."""
+    """Mean miles between neighbouring geotagged posts.
+
+    Where an account has so many posts that they are cut up, copies of a post are first
+    counted: they are neighbours at distance zero.
+    """
     narrow = posts.select("user_id", *POST_ORDER, "latitude", "longitude")
-    return sequence_features(narrow, max_rows=max_rows).groupBy("user_id").agg(
-        *average("dist_from_previous_tweet"))
+    miles = F.col("dist_from_previous_tweet")
+    if long_keys(narrow, ["user_id"], max_rows) is None:
+        return sequence_features(narrow, max_rows=max_rows).groupBy("user_id").agg(
+            *average("dist_from_previous_tweet"))
+    counted = narrow.groupBy(*narrow.columns).agg(F.count("*").alias("copies"))
+    to_itself = great_circle_miles(*[F.col(c) for c in ("latitude", "longitude") * 2])
+    steps = F.when(miles.isNotNull(), 1).otherwise(0) + F.when(
+        to_itself.isNotNull(), F.col("copies") - 1).otherwise(0)
+    return sequence_features(counted, max_rows=max_rows).groupBy("user_id").agg(
+        F.try_divide(F.coalesce(F.sum(miles), F.lit(0.0)), F.sum(steps))
+        .alias("avg_dist_from_previous_tweet"))
