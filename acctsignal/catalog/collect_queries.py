@@ -244,6 +244,18 @@ def _message_files(spark, sf_dir):
 _STREAMED = "messages as (select * from tweets where tweet_id % 10 <> 9)"
 
 
+@query(f"""{TWEETS}, {_STREAMED}
+select count(distinct user_id) as accounts, count(distinct case when user_id % 3 = 0 then user_id end) as fetched
+from messages""")
+def collection_progress(spark, sf_dir):
+    """Counts after a stream is stored and every third account is marked as fetched."""
+    store = C.AccountStore(spark, new_shared_path(spark, "store"))
+    posts = C.read_post_stream(spark, _message_files(spark, sf_dir))
+    C.collect_accounts(posts, store, new_shared_path(spark, "checkpoint")).awaitTermination()
+    store.mark_fetched(store.work_list().where("id % 3 = 0"))
+    return store.progress()
+
+
 @query(f"""{oracle_cte('accounts', 'tweets')}, {_STREAMED}, pointed as (
   select user_id, in_reply_to_user_id as id from messages
   union all select user_id, k % 50 from messages where num_users_mentioned > 0)

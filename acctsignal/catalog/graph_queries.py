@@ -155,6 +155,13 @@ def amplification_statuses(spark, sf_dir):
     return _walk(spark, sf_dir).statuses
 
 
+@query(f"""{_RECURSIVE}, {_TIMELINES}, {_WALK}
+select status_id, min(retweeted_status_user_id) as account_id, min(rt_text) as text
+from met join tweets on retweeted_status_id = status_id group by status_id""")
+def amplification_status_details(spark, sf_dir):
+    return M.status_details(view(spark, sf_dir, "tweets"), _walk(spark, sf_dir).statuses)
+
+
 @query(f"""{_RECURSIVE}, {_TIMELINES}, {_WALK}
 select hop::int as hop, count(*) as accounts from first_hop
 where user_id in (select s.user_id from shared s join met using (status_id)) group by hop""")

@@ -167,6 +167,17 @@ def amplification_graph(posts: DataFrame, seed: int, max_hops: int | None = None
         reached.all().join(is_node, "user_id", "left_semi"), statuses.all(), all_edges)
 
 
+def status_details(posts: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Author and text of ``statuses(status_id)``, from the first post that retweeted each."""
+    first = lambda c: F.min_by(c, F.struct(*POST_ORDER))
+    return (
+        posts.withColumnRenamed("retweeted_status_id", "status_id")
+        .join(statuses.select("status_id"), "status_id", "left_semi")
+        .groupBy("status_id")
+        .agg(first("retweeted_status_user_id").alias("account_id"), first("rt_text").alias("text"))
+    )
+
+
 def reach_by_hop(graph: AmplificationGraph) -> DataFrame:
     """How many accounts each hop reached first."""
     return graph.accounts.groupBy("hop").agg(F.count("*").alias("accounts"))

@@ -44,9 +44,12 @@ def connections(edges: DataFrame, accounts: DataFrame,
         F.col("target_id").alias("id"), F.lit("follower").alias("direction"),
         F.col("source_id").alias("other"))
     both = friends.unionByName(followers)
-    if max_connections is None:
-        return both
-    return first_per_key(both, ["id", "direction"], ["other"], max_connections)
+    return both if max_connections is None else capped(both, max_connections)
+
+
+def capped(found: DataFrame, max_connections: int) -> DataFrame:
+    """The first ``max_connections`` connections per account and direction."""
+    return first_per_key(found, ["id", "direction"], ["other"], max_connections)
 
 
 def directed(found: DataFrame) -> DataFrame:
@@ -75,10 +78,15 @@ def ego_network(edges: DataFrame, root: int, degree: int = 1,
     """
     spark = edges.sparkSession
     nodes = HopTable(spark, "ego-nodes", "id bigint")
-    met = HopTable(spark, "ego-connections", "id bigint, direction string, other bigint")
+    columns = "id bigint, direction string, other bigint"
+    met, uncapped = HopTable(spark, "ego-connections", columns), HopTable(spark, "ego-uncapped", columns)
     frontier = nodes.add(spark.createDataFrame([(root,)], "id bigint"))
     for _ in range(degree + 1):
-        found = met.add(connections(edges, frontier, max_connections))
+        found = connections(edges, frontier, None)
+        if max_connections is not None:
+            # capping reads its input more than once, the edges are read for a hop only once
+            found = capped(uncapped.add(found), max_connections)
+        found = met.add(found)
         frontier = nodes.add(
             found.select(F.col("other").alias("id")).distinct().join(nodes.all(), "id", "left_anti"))
         if frontier.isEmpty():
@@ -91,6 +99,7 @@ def ego_network(edges: DataFrame, root: int, degree: int = 1,
         all_edges = (
             all_edges.join(inner.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
             .join(inner.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+            .select("source_id", "target_id")
         )
     return EgoNetwork(all_nodes, all_edges)
 

@@ -3,12 +3,9 @@
 Functions, since parsing a schema text needs an active session.
 """
 
-from functools import cache
-
 from pyspark.sql.types import StructType
 
 
-@cache
 def account() -> StructType:
     return StructType.fromDDL("""
     id bigint, id_str string, screen_name string, created_at string, lang string,
@@ -24,7 +21,6 @@ _ENTITIES = """struct<
 _BRIEF_USER = "struct<id: bigint, screen_name: string, lang: string>"
 
 
-@cache
 def post() -> StructType:
     """One post as delivered; a stream carries these without the per-account nesting."""
     return StructType.fromDDL(f"""
@@ -50,14 +46,12 @@ def post() -> StructType:
 """)
 
 
-@cache
 def timeline() -> StructType:
     """One record per account with its posts nested."""
     return StructType.fromDDL(
     f"id bigint, id_str string, screen_name string, tweets array<{post().simpleString()}>")
 
 
-@cache
 def training_account() -> StructType:
     return StructType.fromDDL("""
     id bigint, id_str string, screen_name string, lang string,
@@ -67,12 +61,10 @@ def training_account() -> StructType:
 """)
 
 
-@cache
 def follower() -> StructType:
     return StructType.fromDDL("target bigint, position bigint, created_date string")
 
 
-@cache
 def work_item() -> StructType:
     return StructType.fromDDL("""
     id bigint, id_str string, screen_name string, created_date timestamp, found_date timestamp,

@@ -102,13 +102,22 @@ class AccountStore:
         written = self.spark.read.schema(schemas.account()).json(f"{self.records}/batch={batch_id}")
         account_summary(written, found_date).write.mode("overwrite").parquet(f"{self.work}/batch={batch_id}")
 
+    def progress(self) -> DataFrame:
+        """How many accounts are stored, and how many of them are fetched."""
+        done = self.fetched_ids().distinct().withColumn("done", F.lit(1))
+        return self.work_list().join(done, "id", "left").agg(
+            F.count("*").alias("accounts"), F.count("done").alias("fetched"))
+
     def mark_fetched(self, ids: DataFrame) -> None:
         ids.select("id").write.mode("append").parquet(self.fetched)
 
 
 def collect_accounts(posts: DataFrame, store: AccountStore, checkpoint: str,
                      known: DataFrame | None = None, query: str | None = None) -> StreamingQuery:
-    """Store the authors of a post stream and, found in ``known``, the accounts they mention."""
+    """Store the authors of a post stream and, found in ``known``, the accounts they mention.
+
+    Progress reports of the query carry the number of posts under ``progress``.
+    """
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
@@ -120,7 +129,8 @@ def collect_accounts(posts: DataFrame, store: AccountStore, checkpoint: str,
         batch.unpersist()
 
     return (
-        tracked(posts, query).writeStream.foreachBatch(store_batch)
+        tracked(posts, query).observe("progress", F.count(F.lit(1)).alias("posts"))
+        .writeStream.foreachBatch(store_batch)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 

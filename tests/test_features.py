@@ -13,7 +13,7 @@ def accounts(spark, *rows):
     base = {"id": 1, "screen_name": "a1", "created_at": "Wed Aug 01 13:08:45 +0000 2018", "lang": "en",
             "followers_count": 10, "friends_count": 0, "favourites_count": 8, "statuses_count": 4,
             "listed_count": 2, "file_name": "x.accounts-2018-08-05.json.gz"}
-    schema = account().add("file_name", "string") if "file_name" not in account().names else account()
+    schema = account().add("file_name", "string")
     full = [{**base, **r} for r in rows]
     return spark.createDataFrame([tuple(r.get(n) for n in schema.names) for r in full], schema)
 
