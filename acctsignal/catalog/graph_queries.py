@@ -276,14 +276,18 @@ select 'account-' || id as id, 'account' as kind, screen_name as label,
     || strftime(seen, '%Y-%m-%dT%H:%M:%S') || '"/>' as element
 from ends join accounts using (id)""")
 def graph_export_nodes(spark, sf_dir):
-    edges = view(spark, sf_dir, "edges")
-    accounts = view(spark, sf_dir, "accounts").select("id", "screen_name")
-    ends = edges.select(F.col("source_id").alias("id"), "created_date").unionByName(
-        edges.select(F.col("target_id").alias("id"), "created_date"))
-    nodes = G.unique_nodes(ends.join(accounts, "id"))
+    nodes = G.nodes_of(view(spark, sf_dir, "edges"), view(spark, sf_dir, "accounts"))
     return G.export_nodes(nodes, "account")
 
 
+@query("""select user_id as id, arg_min(event_type, event_id) as screen_name, min(event_id) as created_date
+from events group by user_id""")
+def unique_nodes(spark, sf_dir):
+    """Event types stand for the names an account was seen under, event ids for the time."""
+    return G.unique_nodes(table(spark, sf_dir, "events").selectExpr(
+        "user_id as id", "event_type as screen_name", "event_id as created_date"))
+
+
 @query(f"""{_NAMED}
 select 'account-' || source_id || '>account-' || target_id as id, 'account-' || source_id as source,
   'account-' || target_id as target, strftime(created_date, '%Y-%m-%dT%H:%M:%S') as start,

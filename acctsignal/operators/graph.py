@@ -31,6 +31,17 @@ def unique_nodes(nodes: DataFrame, seen: str = "created_date") -> DataFrame:
         F.min(seen).alias(seen))
 
 
+def nodes_of(edges: DataFrame, accounts: DataFrame, seen: str = "created_date") -> DataFrame:
+    """The known accounts at the ends of edges, with the time each was first seen.
+
+    An account with many edges is one row before it is joined.
+    """
+    ends = edges.select(F.col("source_id").alias("id"), seen).unionByName(
+        edges.select(F.col("target_id").alias("id"), seen))
+    first = ends.groupBy("id").agg(F.min(seen).alias(seen))
+    return first.join(accounts.select("id", "screen_name"), "id")
+
+
 def connections(edges: DataFrame, accounts: DataFrame,
                 max_connections: int | None = MAX_CONNECTIONS) -> DataFrame:
     """Friends and followers of ``accounts(id)``: ``id, direction, other``.

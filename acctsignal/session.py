@@ -7,7 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-REQUIRED_SQL_CONF = {"spark.sql.session.timeZone": "UTC"}
+SQL_CONF = {
+    # results depend on it
+    "spark.sql.session.timeZone": "UTC",
+    # split a skewed join even if what follows must then shuffle again
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
 
 
 def get_spark(app_name: str = "acctsignal", master: str | None = None,
@@ -20,19 +27,17 @@ def get_spark(app_name: str = "acctsignal", master: str | None = None,
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.sql.ansi.enabled", "true")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
     if master:
         builder = builder.master(master)
-    for key, value in {**REQUIRED_SQL_CONF, **(conf or {})}.items():
+    for key, value in {**SQL_CONF, **(conf or {})}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin what results depend on (the time zone) on a session made elsewhere."""
-    for key, value in REQUIRED_SQL_CONF.items():
+    """Set the time zone and adaptive execution on a session made elsewhere."""
+    for key, value in SQL_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
@@ -44,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local-mode session without that setting gets a temporary folder.
     """
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
     if not context.master.startswith("local"):

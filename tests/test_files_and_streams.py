@@ -42,21 +42,21 @@ def test_follower_csv(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(1, 1, "2018-01-01"), (1, 2, None)]
 
 
-def test_shared_folder_is_required_on_a_cluster(monkeypatch, spark):
+def test_shared_folder_is_required_on_a_cluster():
     class Context:
         master = "yarn"
 
-        def getConf(self):
-            return {}
-
         def getCheckpointDir(self):
             return None
 
     class Session:
         sparkContext = Context()
+        conf = {}
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(Session())
+    Session.conf = {"spark.checkpoint.dir": "s3a://bucket/tmp"}
+    assert session.new_shared_path(Session(), "x").startswith("s3a://bucket/tmp/acctsignal/x-")
 
 
 @pytest.fixture(scope="module")
