@@ -87,6 +87,7 @@ DIGITS_IN_NAME = _on("numbers_in_screen_name", "screen_name", digit_count)
 
 IDENTITY = [renamed("user_id", "id"), renamed("lang", "lang"), renamed("screen_name", "screen_name")]
 
+# The columns of the account part.
 OUTPUT = [
     "user_id", "created_at_ts", "account_age_days", "lang", "screen_name", "is_default_profile",
     "is_verified", "is_geo_enabled", "num_followers", "num_friends", "num_favorites",

@@ -11,7 +11,7 @@ from acctsignal.operators.ordered import newest_per_key
 # Posts one timeline holds.
 TIMELINE_LENGTH = 200
 
-# Flat column <- field of a post, for the fields that change their name or place.
+# The columns of the flat post table, and the post's field each comes from.
 _TWEET = {
     "tweet_created_at": "created_at", "tweet_id": "id", "tweet_text": "text",
     "tweet_source": "source", "tweet_language": "lang", "tweet_retweet_count": "retweet_count",

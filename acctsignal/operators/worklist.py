@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from acctsignal.operators.sampling import draw
+
 # Defaults of the work list.
 MIN_TWEETS = 10
 BATCH = 100
@@ -78,6 +80,6 @@ def sample_ids(spark: SparkSession, first: int, end: int, percentage: int = 100,
     drawn = F.slice(
         F.array_sort(F.transform(
             F.sequence(F.col("id"), last),
-            lambda i: F.struct(F.md5(F.concat(i.cast("string"), F.lit(f"-{seed}")).cast("binary")), i.alias("id")))),
+            lambda i: F.struct(draw(i, seed), i.alias("id")))),
         1, percentage)
     return blocks.select(F.explode(drawn).alias("draw")).select(F.col("draw.id"))

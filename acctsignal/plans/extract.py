@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from acctsignal.operators.account import account_features, check_mode
 from acctsignal.operators.ingest import explode_posts, flatten_posts, normalize_training_posts
-from acctsignal.operators.posts import post_features
+from acctsignal.operators.posts import post_features, reply_times_from_parents
 from acctsignal.plans.assemble import assemble
 from acctsignal.session import configure, materialize
 from acctsignal.sources import (
@@ -33,9 +33,11 @@ POST_COLUMNS["unknown"] = POST_COLUMNS["training"] + [
 
 def extract(spark: SparkSession, account_path: str, post_path: str, mode: str = "unknown",
             dump_time: Column | None = None, compat: bool = False, approx: bool = False,
-            spread: int | None = None) -> DataFrame:
+            spread: int | None = None, reply_parents: bool = False) -> DataFrame:
     """Account and post features of every account.
 
+    ``reply_parents`` looks up the time of a replied-to post among the posts themselves.
+
     The posts are parsed once and staged as narrow columns in the shared folder, since the
     aggregates read different columns of them.
     """
@@ -46,6 +48,8 @@ def extract(spark: SparkSession, account_path: str, post_path: str, mode: str =
     else:
         accounts = read_accounts(spark, account_path, spread)
         posts = flatten_posts(explode_posts(read_timelines(spark, post_path, spread)))
+        if reply_parents:
+            posts = reply_times_from_parents(posts)
     staged = materialize(post_features(posts, mode).select(*POST_COLUMNS[mode]), "posts")
     return assemble(account_features(accounts, mode, dump_time), staged, mode, compat, approx)
 
