@@ -18,6 +18,15 @@ from acctsignal.functions import count_not_above
 MAX_ROWS_PER_SLICE = 20_000_000
 # Sampled rows per slice, from which the cuts of a long key are taken.
 SAMPLES_PER_SLICE = 64
+# Copies of a row that one task writes at a time.
+COPIES_PER_STEP = 1_000_000
+
+
+def match_small(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join with a broadcast table; NULL keys match NULL keys."""
+    renamed = F.broadcast(small.withColumnsRenamed({k: f"_small_{k}" for k in keys}))
+    on = [df[k].eqNullSafe(renamed[f"_small_{k}"]) for k in keys]
+    return df.join(renamed, on, how).drop(*[f"_small_{k}" for k in keys])
 
 
 def long_keys(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_ROWS_PER_SLICE) -> DataFrame | None:
@@ -46,7 +55,7 @@ def cut_long_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     one_in = max(1, max_rows // SAMPLES_PER_SLICE)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("at"))
     cuts = (
-        df.join(F.broadcast(long), list(keys), "left_semi")
+        match_small(df, long, keys, "left_semi")
         .where(F.pmod(F.xxhash64(*order), F.lit(one_in)) == 0)
         .select(*keys, position.alias("at"))
         .distinct()
@@ -57,10 +66,10 @@ def cut_long_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     found = spark.createDataFrame(cuts.collect(), cuts.schema)
     listed = found.groupBy(*keys).agg(F.array_sort(F.collect_list("at")).alias("cuts"))
     none = F.array().cast(listed.schema["cuts"].dataType)
-    table = long.join(listed, list(keys), "left").withColumn("cuts", F.coalesce("cuts", none))
+    table = match_small(long, listed, keys, "left").withColumn("cuts", F.coalesce("cuts", none))
     most = table.agg(F.max(F.size("cuts"))).first()[0]
     return (
-        df.join(F.broadcast(table), list(keys), "left")
+        match_small(df, table, keys, "left")
         .withColumn("is_long", F.col("cuts").isNotNull())
         .withColumn(
             "slice",
@@ -90,30 +99,57 @@ def add_neighbour(df: DataFrame, keys: Sequence[str], slice_col: str, order: Seq
         .agg(border.alias("_border"))
         .select(*keys, slice_col, shift("_border").over(across).alias("_carried"))
     )
-    if border_rows is not None:
-        carried = F.broadcast(carried)
+    linked = df.withColumn("_near", shift(boxed).over(in_slice))
+    if border_rows is None:
+        linked = linked.join(carried, [*keys, slice_col], "left")
+    else:
+        linked = match_small(linked, carried, [*keys, slice_col], "left")
     return (
-        df.withColumn("_near", shift(boxed).over(in_slice))
-        .join(carried, [*keys, slice_col], "left")
-        .withColumn(name, F.coalesce("_near", "_carried")["v"])
+        linked.withColumn(name, F.coalesce("_near", "_carried")["v"])
         .drop("_near", "_carried")
     )
 
 
+def repeat_rows(df: DataFrame, times: str) -> DataFrame:
+    """Every row as often as its column ``times`` says; many copies are made by many tasks."""
+    steps = F.sequence(F.lit(0), F.expr(f"({times} - 1) div {COPIES_PER_STEP}"))
+    size = F.least(F.lit(COPIES_PER_STEP), F.col(times) - F.col("_step") * COPIES_PER_STEP)
+    return (
+        df.where(F.col(times) > 0)
+        .withColumn("_step", F.explode(steps))
+        .withColumn("_size", size)
+        .repartition(*df.columns, "_step")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_size"))))
+        .drop("_step", "_size", "_copy", times)
+    )
+
+
 def add_previous(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], name: str,
                  max_rows: int = MAX_ROWS_PER_SLICE) -> DataFrame:
     """Add the struct ``name`` of the previous row's ``columns`` per ``key``; NULL in first rows.
 
-    A plain ``lag`` unless a key is long.
+    A plain ``lag``, but for long keys. Their equal rows are counted first, since no cut can
+    part them: each copy but one follows a row like itself.
     """
-    sliced = cut_long_keys(df, [key], order, max_rows)
+    window = Window.partitionBy(key).orderBy(*order)
+    before = F.struct(*[F.lag(c).over(window).alias(c) for c in columns])
+    before = F.when(F.lag(F.lit(True)).over(window), before)
+    long = long_keys(df, [key], max_rows)
+    if long is None:
+        return df.withColumn(name, before)
+
+    usual = match_small(df, long, [key], "left_anti").withColumn(name, before)
+    counted = match_small(df, long, [key], "left_semi").groupBy(*df.columns).agg(
+        (F.count("*") - 1).alias("_copies"))
+    sliced = cut_long_keys(counted, [key], order, max_rows)
     if sliced is None:
-        window = Window.partitionBy(key).orderBy(*order)
-        before = F.struct(*[F.lag(c).over(window).alias(c) for c in columns])
-        return df.withColumn(name, F.when(F.lag(F.lit(True)).over(window), before))
-    return add_neighbour(
-        sliced, [key], "slice", order, F.struct(*columns), name, border_rows=sliced.where("is_long")
-    ).drop("slice", "is_long")
+        linked = counted.withColumn(name, before)
+    else:
+        linked = add_neighbour(
+            sliced, [key], "slice", order, F.struct(*columns), name, border_rows=sliced.where("is_long")
+        ).drop("slice", "is_long")
+    copies = repeat_rows(counted.withColumn(name, F.struct(*columns)), "_copies")
+    return usual.unionByName(linked.drop("_copies")).unionByName(copies)
 
 
 def add_running_sum(df: DataFrame, keys: Sequence[str], slice_col: str, order: Sequence[str],
@@ -152,7 +188,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: i
     )
     rank = F.row_number().over(Window.partitionBy(*keys, "slice").orderBy(*order))
     return (
-        sliced.join(F.broadcast(earlier), [*keys, "slice"], "left")
+        match_small(sliced, earlier, [*keys, "slice"], "left")
         .withColumn("_earlier", F.coalesce("_earlier", F.lit(0)))
         .where(F.col("_earlier") < k)
         .withColumn("_rank", rank)

@@ -45,16 +45,30 @@ def test_no_long_key_no_slices(posts):
     assert O.cut_long_keys(posts, ["user_id"], P.POST_ORDER, max_rows=10_000) is None
 
 
+def with_copies(posts):
+    """A third of the long account's posts again, and one post a hundred times."""
+    one = posts.where("tweet_id = 300").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(100)))).drop("n")
+    return posts.union(posts.where("user_id = 7 and tweet_id % 2 = 0")).union(one)
+
+
+def without_account(posts):
+    """The long key is NULL."""
+    return posts.withColumn("user_id", F.when(F.col("user_id") != 7, F.col("user_id")))
+
+
 @pytest.mark.parametrize("compat", [False, True])
-def test_previous_post(posts, compat):
+@pytest.mark.parametrize("change", [lambda p: p, with_copies, without_account])
+@pytest.mark.parametrize("max_rows", [50, 400])
+def test_previous_post(posts, monkeypatch, compat, change, max_rows):
+    monkeypatch.setattr(O, "COPIES_PER_STEP", 30)
     columns = ["tweet_id", "previous_tweet_ts_long", "time_from_previous_tweet", "dist_from_previous_tweet"]
-    plain = P.sequence_features(posts, compat).select(columns).collect()
-    cut = P.sequence_features(posts, compat, max_rows=50).select(columns).collect()
-    assert sorted(plain) == sorted(cut)
+    plain = P.sequence_features(change(posts), compat).select(columns).collect()
+    cut = P.sequence_features(change(posts), compat, max_rows=max_rows).select(columns).collect()
+    assert sorted(plain, key=repr) == sorted(cut, key=repr)
 
 
 def test_mean_distance_with_copies(posts):
-    copied = posts.union(posts.where("user_id = 7 and tweet_id % 5 = 0")).union(posts.where("tweet_id = 300"))
+    copied = with_copies(posts)
     plain = {r[0]: r[1] for r in P.mean_distance(copied).collect()}
     cut = {r[0]: r[1] for r in P.mean_distance(copied, max_rows=50).collect()}
     assert plain.keys() == cut.keys()
