@@ -35,13 +35,14 @@ def follower_runs(followers: DataFrame, chunk: int = POSITIONS_PER_CHUNK) -> Dat
     )
 
     per_target = Window.partitionBy("target")
-    later = per_target.orderBy("chunk").rowsBetween(1, Window.unboundedFollowing)
+    # backwards, since a frame that ends at the last row would be computed anew for every row
+    later = per_target.orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
     borders = (
         flagged.groupBy("target", "chunk")
         .agg(F.min(F.when(F.col("is_start"), F.col("position"))).alias("first_start"),
              F.max("position").alias("last_position"))
         .select("target", "chunk",
-                F.first("first_start", ignorenulls=True).over(later).alias("later_start"),
+                F.last("first_start", ignorenulls=True).over(later).alias("later_start"),
                 F.max("last_position").over(per_target).alias("list_length"))
     )
     return (

@@ -27,8 +27,8 @@ def post_aggregates(posts: DataFrame, mode: str = "unknown", compat: bool = Fals
     Whatever is a function of single posts is in one aggregate. The rest has steps of its
     own. All end up partitioned by ``user_id``, so joining them moves nothing.
     """
-    check_mode(mode)
-    unknown = mode == "unknown"
+    unknown = check_mode(mode) == "unknown"
+    posts = posts.where("user_id is not null")  # no account to join
     wide = [*P.total_tweets(), *P.retweet_share(), *P.oldest_tweet(), *P.average("reply_id_distance")]
     for entity in P.ENTITIES:
         wide += P.entity_totals(entity)

@@ -174,3 +174,11 @@ def test_follower_blocks(spark, lists, chunk):
         limit = thresholds[target]
         assert found == ([] if limit is None else brute_blocks(expected, limit))
     assert any(b.target != 9 for b in blocks)
+
+
+def test_whole_feature_table_with_long_accounts(spark, sf_dir):
+    from acctsignal.catalog.post_queries import assembled, rounded_features
+
+    plain = rounded_features(assembled(spark, sf_dir)).collect()
+    cut = rounded_features(assembled(spark, sf_dir, max_rows=20)).collect()
+    assert sorted(plain, key=repr) == sorted(cut, key=repr)
