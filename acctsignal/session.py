@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -35,8 +36,17 @@ def get_spark(app_name: str = "acctsignal", master: str | None = None,
     return configure(builder.getOrCreate())
 
 
+#: The folder that holds this package.
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Set the time zone and adaptive execution on a session made elsewhere."""
+    """Set the time zone and adaptive execution on a session made elsewhere.
+
+    Python workers also look for this package where the driver found it; on a cluster without
+    a shared folder for code, pass it with ``--py-files``.
+    """
+    spark.sparkContext.environment.setdefault("PYTHONPATH", PACKAGE_ROOT)
     for key, value in SQL_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
