@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -52,32 +52,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Remembered:
-    """Values of a function of one string, kept for the strings that come again.
+    """Values of strings, kept for the strings that come again.
 
-    Memory is bounded: strings are first kept among the young; those met again move to the old. Either set is
-    forgotten when it has ``most`` entries, so that frequent strings stay and rare ones go.
+    ``function`` gives the values of a list of different strings. Memory is bounded: strings are first kept among
+    the young; those met again in a later call move to the old. Either set is forgotten when it has ``most``
+    entries, so that frequent strings stay and rare ones go.
     """
 
-    def __init__(self, function: Callable[[str], Any], most: int = 150_000):
+    def __init__(self, function: Callable[[list[str]], Iterable[Any]], most: int = 150_000):
         self.function, self.most = function, most
         self.young: dict[str, Any] = {}
         self.old: dict[str, Any] = {}
 
-    def add(self, item: str) -> Any:
-        value = self.young.pop(item, self)
-        if value is not self:
-            if len(self.old) >= self.most:
-                self.old.clear()
-            self.old[item] = value
-            return value
-        if len(self.young) >= self.most:
-            self.young.clear()
-        value = self.young[item] = self.function(item)
-        return value
-
     def of(self, items: Sequence[str]) -> list:
-        old, add = self.old, self.add
-        values = list(map(old.get, items))
+        """The values (never None) of ``items``, in their order."""
+        values = list(map(self.old.get, items))
         if None in values:
-            values = [add(x) if v is None else v for x, v in zip(items, values)]
+            missing = dict.fromkeys(x for x, v in zip(items, values) if v is None)
+            for x in missing:
+                missing[x] = self.young.pop(x, None)
+            if len(self.old) >= self.most:
+                self.old.clear()
+            self.old.update((x, v) for x, v in missing.items() if v is not None)
+            new = [x for x, v in missing.items() if v is None]
+            if len(self.young) >= self.most:
+                self.young.clear()
+            for x, v in zip(new, self.function(new)):
+                missing[x] = self.young[x] = v
+            values = [missing[x] if v is None else v for x, v in zip(items, values)]
         return values

@@ -42,7 +42,7 @@ def _hash_word(word: str) -> int:
 
 
 #: Known words of this Python worker.
-_word_hashes = Remembered(_hash_word)
+_word_hashes = Remembered(lambda words: map(_hash_word, words))
 
 
 def features(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:

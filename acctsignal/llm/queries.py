@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 from acctsignal.catalog.registry import query
 from acctsignal.llm.batches import id_remainder
+from acctsignal.llm.byte_bpe import decode_ids, encode_texts
+from acctsignal.llm.fingerprints import fingerprint_edits
 from acctsignal.llm.language import fit_languages, predict_language
+from acctsignal.llm.licenses import license_summary, scan_licenses
+from acctsignal.llm.packing import pack_documents
+from acctsignal.llm.parity_join import near_duplicates
 from acctsignal.llm.quality import fit_quality, quality_score
+from acctsignal.llm.shards import shard_documents
+from acctsignal.llm.topk import top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +32,42 @@ def op1_language_filters(spark, sf_dir):
                        predict_language(model, F.col("text")).alias("p")).select("doc_id", "held_out", "p.*")
 
 
+@query()
+def op2_license_rules(spark, sf_dir):
+    """Licences that every text names."""
+    scanned = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scanned.select("doc_id", *license_summary(F.col("licenses")))
+
+
+@query()
+def op4_jump_shards(spark, sf_dir):
+    """All documents in 40 shards by id."""
+    return shard_documents(table(spark, sf_dir, "documents"), 40)
+
+
+@query()
+def op5_merkle_fingerprints(spark, sf_dir):
+    """Fingerprints of all texts and of their edited texts."""
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op6_pair_index_bpe(spark, sf_dir):
+    """Token ids of all texts, and the texts decoded from them."""
+    path = vocabulary("byte_bpe_50k.json")
+    encoded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    return decode_ids(encoded, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 #: Texts that score less are predicted to be bad.
 QUALITY_THRESHOLD = 0.3
 
@@ -37,3 +80,24 @@ def op7_quality_ftrl(spark, sf_dir):
     model = fit_quality(docs, table(spark, sf_dir, "labels").where(id_remainder(F.col("doc_id"), 5) != 0))
     scored = docs.select("doc_id", (remainder == 0).alias("held_out"), quality_score(model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= QUALITY_THRESHOLD).cast("int"))
+
+
+@query()
+def op8_min_bin_slack(spark, sf_dir):
+    """All documents packed into sequences of 4096 tokens."""
+    packed = pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset")
+
+
+@query()
+def op9_histogram_topk(spark, sf_dir):
+    """The 10 best rows for each vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+@query()
+def op10_parity_join(spark, sf_dir):
+    """Components of texts whose 3-word shingles are alike to 0.9."""
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=90)
