@@ -114,9 +114,6 @@ BODIES = [
     ("lgpl", "gnu", r"you should have received a copy of the gnu lesser general public licen[cs]e along with this (?:library|program)"),
     ("lgpl", "gnu", r"https? www gnu org licenses lgpl(?: [23] [01])?(?: txt| html)?"),
     ("agpl", "gnu", r"https? www gnu org licenses agpl(?: 3 0)?(?: txt| html)?"),
-    ("gpl", "gnu", r"gnu (?:general public licen[cs]e|gpl)"),
-    ("lgpl", "gnu", r"gnu (?:lesser general public licen[cs]e|lgpl)"),
-    ("agpl", "gnu", r"gnu (?:affero general public licen[cs]e|agpl)"),
     ("mpl-2", "licen", r"this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0"),
     ("mpl-2", "licen", r"https? (?:www )?mozilla org mpl 2 0"),
     ("zlib", "permission", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
@@ -130,12 +127,26 @@ BODIES = [
     ("all-rights-reserved", "rights reserved", r"all rights reserved"),
 ]
 
+#: Families whose version is not told.
+FAMILIES = [
+    ("gpl", "gnu", r"gnu (?:general public licen[cs]e|gpl)"),
+    ("lgpl", "gnu", r"gnu (?:lesser general public licen[cs]e|lgpl)"),
+    ("agpl", "gnu", r"gnu (?:affero general public licen[cs]e|agpl)"),
+    ("bsd", "licen", r"bsd(?: style)? licen[cs]e"),
+    ("mpl", "licen", r"mozilla public licen[cs]e"),
+    ("epl", "licen", r"eclipse public licen[cs]e"),
+    ("apache", "licen", r"apache(?: software)? licen[cs]e"),
+    ("artistic", "licen", r"artistic licen[cs]e"),
+    ("cc", "creative commons", r"creative commons licen[cs]e"),
+]
+
 
 def rules() -> list[Rule]:
     """Base phrases, sentences, and every licence in every kind of statement."""
     found = [Rule(f"base:{label}", label, "cc by" if "cc" in phrase else "licen", 2, 1.0, phrase)
              for phrase, label in BASE.items()]
     found += [Rule(f"body:{label}:{i}", label, keyword, 4, 0.98, regex) for i, (label, keyword, regex) in enumerate(BODIES)]
+    found += [Rule(f"family:{label}", label, keyword, 1, 0.5, regex) for label, keyword, regex in FAMILIES]
     for label, name, short in NAMES + COMMONS:
         found.append(Rule(f"tag:{label}", label, "spdx", 4, 1.0, rf"spdx licen[cs]e identifier {short}"))
         for kind, statement, priority, confidence in STATEMENTS:

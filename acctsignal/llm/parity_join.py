@@ -114,16 +114,16 @@ def set_identity(hashes: np.ndarray) -> tuple[int, int]:
     return int(total.view(np.int64)[0]), int(other.view(np.int64)[0])
 
 
-_ROWS = "doc_id long, n long, node long, other long, keys array<long>, sketch array<long>"
+_ROWS = "doc_id long, text_key long, n long, node long, other long, keys array<long>, sketch array<long>"
 
 
 def _sketched(width: int, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # sets whose pieces this task has sent, so that copies send them once
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             size = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text, text_key in zip(*(c.to_pylist() for c in batch.columns)):
                 hashes = shingle_hashes(text, width)
                 node, other = set_identity(hashes) if len(hashes) else (None, None)
                 keys = sketch = None
@@ -133,11 +133,11 @@ def _sketched(width: int, threshold: int):
                     seen.add(node)
                     keys, sketch = piece_keys(hashes, threshold).view(np.int64), short_sketch(hashes)
                     size += len(keys)
-                for column, value in zip(out, (doc_id, len(hashes), node, other, keys, sketch)):
+                for column, value in zip(out, (doc_id, text_key, len(hashes), node, other, keys, sketch)):
                     column.append(value)
                 if size > 500_000:
                     yield _batch(out)
-                    out, size = [[], [], [], [], [], []], 0
+                    out, size = [[], [], [], [], [], [], []], 0
             yield _batch(out)
 
     return run
@@ -145,8 +145,8 @@ def _sketched(width: int, threshold: int):
 
 def _batch(columns: list[list]) -> pa.RecordBatch:
     plain, lists = pa.int64(), pa.list_(pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [plain] * 4 + [lists] * 2)],
-                                      ["doc_id", "n", "node", "other", "keys", "sketch"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [plain] * 5 + [lists] * 2)],
+                                      ["doc_id", "text_key", "n", "node", "other", "keys", "sketch"])
 
 
 def _named(width: int):
@@ -210,14 +210,15 @@ def _unsettled(members: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = 5, threshold: int = 80,
                     pivot_rounds: int = 2) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; linked are rows with 100 * intersection >= threshold * union.
+    """(doc_id, text_key, n_shingles, component_id) of every row; linked are rows with 100 * intersection >= threshold * union.
 
     A row's set are the different ``width``-word shingles of its whole text (all words if there are fewer).
     ``component_id`` is the smallest id reachable by links, the row's own included. Null texts and texts without
     words have no shingles, and their component is their own id. Ids are integers; rows that repeat an id stay, and a
-    null id is ignored where the smallest is sought. Steps are written to the shared folder.
+    null id is ignored where the smallest is sought. ``text_key`` is a hash of the text. Steps are written to the shared folder.
     """
-    ids = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    ids = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"),
+                      F.xxhash64(text).alias("text_key"))
     rows = materialize(ids.mapInArrow(_sketched(width, threshold), _ROWS), "sketches")
     nodes = rows.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.max("n").alias("n"),
@@ -237,8 +238,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
         known = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         lowest = known.groupBy("label").agg(F.min("first_id").alias("component"))
         of_node = known.join(lowest, "label").select("node", "component")
-    return (rows.select("doc_id", "n", "node").join(of_node, "node", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
+    return (rows.select("doc_id", "text_key", "n", "node").join(of_node, "node", "left")
+            .select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
 
 
 def _joined_components(ids: DataFrame, rows: DataFrame, nodes: DataFrame, members: DataFrame, width: int,
@@ -252,7 +253,7 @@ def _joined_components(ids: DataFrame, rows: DataFrame, nodes: DataFrame, member
         wanted = F.broadcast(wanted)
     texts = materialize(
         ids.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-        .mapInArrow(_named(width), "node long, text string").join(met, "node", "left_semi").dropDuplicates(["node"]),
+        .select("doc_id", "text").mapInArrow(_named(width), "node long, text string").join(met, "node", "left_semi").dropDuplicates(["node"]),
         "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -291,3 +292,29 @@ def _joined_components(ids: DataFrame, rows: DataFrame, nodes: DataFrame, member
     rest = left.join(right, (left["key"] == right["key"]) & (F.col("label_a") < F.col("label_b")) & _may_link(threshold))
     pairs = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     return joined(labels, verified(pairs))
+
+
+def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` without near-duplicates: of each component only the row with the smallest id stays.
+
+    Of rows that repeat id and text one stays. Rows without words stay; so do rows without an id, unless they are
+    linked to a row that has one. Options are those of ``near_duplicates``.
+    """
+    found = materialize(near_duplicates(docs, key, text, **options), "components")
+    is_first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = found.where(~is_first).select("doc_id", "text_key").distinct()
+    again = found.where(is_first & (F.col("n_shingles") > 0)).groupBy("doc_id", "text_key").count().where("count > 1")
+
+    def same(rows: DataFrame):
+        return docs[key].cast("long").eqNullSafe(rows["doc_id"]) & (F.xxhash64(docs[text]) == rows["text_key"])
+
+    def small(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+
+    gone = materialize(gone, "gone")
+    again = materialize(again.select("doc_id", "text_key"), "again")
+    kept = docs.join(small(gone), same(gone), "left_anti")
+    if again.isEmpty():
+        return kept
+    once = docs.join(small(again), same(again), "left_semi").dropDuplicates([key, text])
+    return docs.join(small(gone.union(again)), same(gone.union(again)), "left_anti").union(once)

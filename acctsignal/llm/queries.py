@@ -9,6 +9,7 @@ from acctsignal.catalog.registry import query
 from acctsignal.llm.batches import id_remainder
 from acctsignal.llm.byte_bpe import decode_ids, encode_texts
 from acctsignal.llm.fingerprints import fingerprint_edits
+from acctsignal.llm.fixity import archived, audit
 from acctsignal.llm.language import fit_languages, predict_language
 from acctsignal.llm.licenses import license_summary, scan_licenses
 from acctsignal.llm.packing import pack_documents
@@ -39,6 +40,43 @@ def op2_license_rules(spark, sf_dir):
     return scanned.select("doc_id", *license_summary(F.col("licenses")))
 
 
+@query("""
+with r as (
+  select page_id, concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Target-URI: ',
+      coalesce(url, ''), chr(13), chr(10), 'Content-Length: ') as head,
+    coalesce(html, '') as html, concat(chr(13), chr(10), chr(13), chr(10)) as gap,
+    case when page_id % 53 = 7 then concat('#', substr(coalesce(html, ''), 2))
+      else concat(substr(coalesce(html, ''), 1, length(coalesce(html, '')) - 10), '0000000000') end as damaged
+  from pages),
+d as (
+  select page_id as record_id, page_id // 1000 as file,
+    cast(strlen(concat(head, strlen(html), gap, html, gap)) as bigint) as length,
+    sha256(concat(head, strlen(html), gap, html, gap)) as digest,
+    sha256(concat(head, strlen(damaged), gap, damaged, gap)) as replica_digest
+  from r),
+o as (
+  select *, coalesce(sum(length) over (partition by file order by record_id
+    rows between unbounded preceding and 1 preceding), 0) as pos from d)
+select file, cast(pos as bigint) as "offset", record_id, length, digest,
+  case when record_id % 53 = 19 then null else replica_digest end as replica_digest,
+  case when record_id % 53 = 19 then 'missing' else 'changed' end as damage
+from o where record_id % 53 in (7, 11, 19)
+""")
+def op3_merkle_fixity(spark, sf_dir):
+    """Damage in a replica of all pages as records of an archive.
+
+    The replica is derived from the pages: of every 53 ids one has its first character overwritten, one its last ten,
+    and one is lost.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    kind, html = F.col("page_id") % 53, F.coalesce("html", F.lit(""))
+    damaged = (F.when(kind == 7, F.concat(F.lit("#"), F.substr(html, F.lit(2))))
+               .when(kind == 11, F.concat(F.substr(html, F.lit(1), F.length(html) - 10), F.lit("0" * 10))).otherwise(html))
+    original = archived(pages, 1000)
+    replica = archived(pages.withColumn("html", damaged), 1000).where(~F.coalesce(F.col("record_id") % 53 == 19, F.lit(False)))
+    return audit(original, replica)
+
+
 @query()
 def op4_jump_shards(spark, sf_dir):
     """All documents in 40 shards by id."""
@@ -100,4 +138,5 @@ def op9_histogram_topk(spark, sf_dir):
 @query()
 def op10_parity_join(spark, sf_dir):
     """Components of texts whose 3-word shingles are alike to 0.9."""
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=90)
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=90)
+    return found.select("doc_id", "n_shingles", "component_id")
