@@ -85,7 +85,7 @@ def piece_keys(hashes: np.ndarray, threshold: int) -> np.ndarray:
             continue
         spare = (most + 1) // 16
         pieces = most + 1 + spare
-        place = mix64(hashes + np.uint64(k + 1) * _STEP)
+        place = mix64(hashes ^ mix64(np.array([k + 1], np.uint64)))
         piece = ((place >> _HALF) * np.uint64(pieces)) >> _HALF
         order = np.argsort(piece, kind="stable")
         piece, bit = piece[order], place[order] & _LOW

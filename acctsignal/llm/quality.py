@@ -116,7 +116,7 @@ class QualityModel:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", *,
-                most_rows: int = 16_384, rows_per_learner: int = 4_096, rounds: int = 4, bits: int = 18) -> QualityModel:
+                most_rows: int = 16_384, rows_per_learner: int = 4_096, rounds: int = 10, bits: int = 18) -> QualityModel:
     """Learn from the labelled rows of ``docs``.
 
     The sample is bounded: about ``most_rows`` labelled keys, chosen by a hash of the key. Learners take about

@@ -112,7 +112,7 @@ def _highest(block: QueryBlock, k: int):
 def _narrow(block: QueryBlock, counts: pa.Table, k: int) -> bool:
     """Shrink each interval to the bin that holds the k-th score; whether bins were wider than one score.
 
-    A query with fewer than k scores keeps its interval, which holds them all.
+    A query with fewer than k scores keeps the lower end, which lets all of them pass, and has no interval any more.
     """
     table = np.zeros((len(block.ids), BINS + 1), np.int64)
     table[counts["q"].to_numpy(), counts["b"].to_numpy()] = counts["n"].to_numpy()
@@ -121,7 +121,7 @@ def _narrow(block: QueryBlock, counts: pa.Table, k: int) -> bool:
     last = np.sum(at_least >= k, axis=1) - 1  # the highest bin from which up there are k scores
     block.above = np.where(enough, at_least[np.arange(len(last)), last + 1], block.above)
     low = block.low + last * block.width
-    block.high = np.where(enough, np.minimum(low + block.width, block.high), block.high)
+    block.high = np.where(enough, np.minimum(low + block.width, block.high), block.low)
     block.low = np.where(enough, low, block.low)
     wide, block.width = block.width > 1, -(-block.width // BINS)
     return wide
