@@ -22,6 +22,8 @@ from acctsignal.llm.batches import Remembered, in_chunks, unused_name
 
 #: Fixed value: how the byte-level vocabulary cuts a text into pieces.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Characters whose units are looked up together.
+_CHARS_AT_ONCE = 2_000_000
 #: Characters other than space and line feed that may count as white space.
 _RARE_SPACE = [c for c in map(chr, range(0x3001)) if c not in " \n" and c.isspace()]
 
@@ -52,9 +54,9 @@ class ByteBpe:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.rank_of[vocabulary[left] << 32 | vocabulary[right]] = rank
             self.merges.append((vocabulary[left], vocabulary[right], vocabulary[left + right]))
-        self.pieces = Remembered(self.merge_all)
-        self.units = Remembered(self.encode_units)
-        self.first_units = Remembered(lambda texts: self.encode_units(texts, ""))
+        self.pieces = Remembered(self.merge_all, 200_000)
+        self.units = Remembered(self.encode_units, 300_000)
+        self.first_units = Remembered(lambda texts: self.encode_units(texts, ""), 50_000)
 
     def merge_all(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece, as 32-bit numbers. Symbols are a list with links; gaps keep pieces apart."""
@@ -102,36 +104,34 @@ class ByteBpe:
     def encode_units(self, units: list[str], lead: str = " ") -> list[bytes]:
         """Ids of texts that stand between single spaces; ``lead`` is the space before each."""
         cut = [PIECES.findall(lead + u) for u in units]
-        ids = iter(self.pieces.of([p for pieces in cut for p in pieces]))
-        return [b"".join(next(ids) for _ in pieces) for pieces in cut]
+        different = list({p for pieces in cut for p in pieces})
+        ids = dict(zip(different, self.pieces.of(different)))
+        return [b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
 
     def encode_plain(self, text: str) -> bytes:
-        """Ids of a text without special tokens.
+        """Ids of a text without special tokens, whatever its white space."""
+        return b"".join(self.pieces.of(PIECES.findall(text)))
 
-        A space between two characters that aren't white space begins a piece, and so does one after or before
-        white space if not both are: then the units between single spaces are encoded on their own. Else the whole
-        text is cut.
+    def encode_special(self, text: str) -> bytes:
+        """Ids of a text in which the special tokens' strings are these tokens."""
+        return b"".join(np.int32(self.special[part]).tobytes() if part in self.special else self.encode_plain(part)
+                        for part in self.cut.split(text))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as 32-bit numbers.
+
+        A space begins a piece, but for one between two others of white space. Without such, what stands between
+        single spaces is a unit of its own; the units of all texts are looked up together. Other texts are cut whole.
         """
-        if "  " in text or "\n \n" in text or any(c in text for c in _RARE_SPACE):
-            return b"".join(self.pieces.of(PIECES.findall(text)))
-        first, *units = text.split(" ")
-        return b"".join([*self.first_units.of([first]), *self.units.of(units)])
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as 32-bit numbers; the special tokens' strings are these tokens."""
-        if self.cut and any(s in text for s in self.special):
-            return b"".join(np.int32(self.special[part]).tobytes() if part in self.special else self.encode_plain(part)
-                            for part in self.cut.split(text))
-        return self.encode_plain(text)
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        for special in self.special:
-            if any(special in t for t in texts):
-                return [self.encode(t) for t in texts]
-        simple = [t for t in texts if not ("  " in t or "\n \n" in t or any(c in t for c in _RARE_SPACE))]
-        for t in [" ".join(u for t in simple for u in t.split(" ")[1:])]:  # all new units of the batch at once
-            self.units.of(list(dict.fromkeys(t.split(" "))))
-        return [self.encode_plain(t) for t in texts]
+        special = [any(s in t for s in self.special) for t in texts]
+        simple = [not (s or "  " in t or "\n \n" in t or any(c in t for c in _RARE_SPACE)) for s, t in zip(special, texts)]
+        units = [t.split(" ") if ok else [""] for t, ok in zip(texts, simple)]
+        firsts = self.first_units.of([u[0] for u in units])
+        different = list({u for of_text in units for u in of_text[1:]})
+        known = dict(zip(different, self.units.of(different)))
+        return [first + b"".join(map(known.__getitem__, u[1:])) if ok else
+                self.encode_special(t) if s else self.encode_plain(t)
+                for first, u, t, s, ok in zip(firsts, units, texts, special, simple)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -151,8 +151,8 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "ids
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         model, encoded = byte_bpe(path), []
-        for _, chunk in in_chunks([t or "" for t in texts.to_pylist()]):
-            encoded += model.encode_many(chunk)
+        for _, chunk in in_chunks([t or "" for t in texts.to_pylist()], _CHARS_AT_ONCE):
+            encoded += model.encode(chunk)
         offsets = np.cumsum([0, *(len(e) // 4 for e in encoded)]).astype(np.int32)
         return pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(encoded), np.int32))
 

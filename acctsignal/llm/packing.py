@@ -10,11 +10,13 @@ sequences whose lengths are powers of two, so no sequence is padded.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,12 @@ from acctsignal.llm.batches import Remembered, in_chunks
 
 #: Tokens packed together.
 BLOCK_TOKENS = 1_000_000
+#: Characters whose words are looked up together.
+_CHARS_AT_ONCE = 8_000_000
+#: Fixed value: how the vocabulary cuts a word, after it is lowered, into pieces.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Below this, lowering and normalising a word leaves no choice: no combining marks, no final forms.
+_LATIN_END = "\u0250"
 #: Control characters on which Python splits, though they aren't white space everywhere.
 _UNSURE = "\x1c\x1d\x1e\x1f\x85"
 
@@ -106,18 +114,54 @@ class WordTokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = Remembered(self.encode)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.pieces = Remembered(self.encode_pieces, 200_000)
+        self.words = Remembered(self.encode_words, 300_000)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes()
+        return [array("I", e.ids).tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, each of which is one word to the tokenizer: many go through it as one text."""
+        found = []
+        for first in range(0, len(pieces), 500):
+            some = pieces[first:first + 500]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(some):
+                data, starts = ids.tobytes(), [0, *ends.tolist()]
+                found += [data[4 * a:4 * b] for a, b in zip(starts, starts[1:])]
+            else:  # a piece that isn't one word
+                found += self.encode(some)
+        return found
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space; those of Latin letters are put together from their pieces' ids."""
+        cut = []
+        for w in words:
+            if not (w.isascii() or max(w) < _LATIN_END):
+                cut.append([w])
+            elif w.isalpha():
+                cut.append([w.lower()])
+            elif w[-1] in ".,;:!?" and w[:-1].isalpha():
+                cut.append([w[:-1].lower(), w[-1]])
+            else:
+                cut.append(PIECES.findall(w.lower()))
+        different = list({p for pieces in cut for p in pieces})
+        ids = dict(zip(different, self.pieces.of(different)))
+        return [b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit numbers."""
         plain = [not any(s in t for s in self.special) and not any(c in t for c in _UNSURE) for t in texts]
         words = [t.split() if ok else [] for t, ok in zip(texts, plain)]
-        self.words.of(list({w for of_text in words for w in of_text}))  # all new words at once
-        return [b"".join(self.words.of(w)) if ok else self.encode([t])[0] for w, t, ok in zip(words, texts, plain)]
+        different = list(set().union(*words))
+        known = dict(zip(different, self.words.of(different)))
+        return [b"".join(map(known.__getitem__, w)) if ok else self.encode([t])[0]
+                for w, t, ok in zip(words, texts, plain)]
 
 
 @lru_cache(maxsize=4)
@@ -161,7 +205,7 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str =
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for first, chunk in in_chunks([t or "" for t in batch.column(1).to_pylist()]):
+            for first, chunk in in_chunks([t or "" for t in batch.column(1).to_pylist()], _CHARS_AT_ONCE):
                 for doc_id, encoded in zip(ids[first:first + len(chunk)], tokens.ids(chunk)):
                     block.append((doc_id, encoded + end))
                     size += len(encoded) // 4 + 1
