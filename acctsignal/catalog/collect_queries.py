@@ -28,11 +28,12 @@ from acctsignal.streaming import collect as C
 
 # ---- ingest ------------------------------------------------------------------------------------
 
-def timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def timelines(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
     """Posts nested per account; ids rise with time."""
     posts = raw_posts(spark, sf_dir).withColumns({
         "user_id": F.col("user.id"), "user_id_str": F.col("user.id_str"), "name": F.col("user.screen_name")})
-    nested = I.nest_posts(posts, ["user_id", "user_id_str", "name"], schemas.post().names, ["id"])
+    nested = I.nest_posts(posts, ["user_id", "user_id_str", "name"], schemas.post().names, ["id"],
+                          limit)
     tweets = F.transform("tweets", lambda t: F.struct(*[t[c].alias(c) for c in schemas.post().names]))
     return nested.select(F.col("user_id").alias("id"), F.col("user_id_str").alias("id_str"),
                          F.col("name").alias("screen_name"), tweets.alias("tweets"))
@@ -51,10 +52,16 @@ _FLAT = ["tweet_id", "user_id", "tweet_ts_long", "retweet_ts_long", "retweeted_s
   select *, row_number() over (partition by user_id order by tweet_id desc) as r from tweets) where r <= 200""")
 def nest_explode(spark, sf_dir):
     """Nest per account, explode, flatten, and the features of single posts."""
-    posts = I.flatten_posts(I.explode_posts(timelines(spark, sf_dir)))
+    posts = I.flatten_posts(I.explode_posts(timelines(spark, sf_dir, I.TIMELINE_LENGTH)))
     return post_features(posts).select(*_FLAT)
 
 
+@query(f"{TWEETS} select {_FLAT_SQL} from tweets")
+def nest_explode_all(spark, sf_dir):
+    """The same without a limit."""
+    return post_features(I.flatten_posts(I.explode_posts(timelines(spark, sf_dir)))).select(*_FLAT)
+
+
 @query(f"{TWEETS} select {_FLAT_SQL} from tweets")
 def json_posts(spark, sf_dir):
     """Through gzip JSON files and back."""
@@ -105,6 +112,17 @@ def training_csv(spark, sf_dir):
         "id", "screen_name", "followers_count", "protected", "statuses_count")
 
 
+@query(f"""{ACCOUNTS} select id, screen_name, followers_count from accounts""")
+def training_csv_two_headers(spark, sf_dir):
+    """Labelled accounts from two CSV files whose headers name the columns in other orders."""
+    path = new_shared_path(spark, "training-accounts")
+    accounts = view(spark, sf_dir, "accounts")
+    for rest, columns in ((0, ["id", "followers_count", "screen_name"]), (1, ["followers_count", "screen_name", "id"])):
+        accounts.where(F.col("id") % 2 == rest).select(columns).coalesce(1).write.mode("append").option(
+            "header", True).csv(path)
+    return read_training_accounts(spark, path).select("id", "screen_name", "followers_count")
+
+
 _EXTRACT_SQL = """
   kept as (
     select * from (select *, row_number() over (partition by user_id order by tweet_id desc) as r from tweets)
@@ -128,7 +146,7 @@ def extract_from_files(spark, sf_dir):
     folder = new_shared_path(spark, "dump")
     account_path, post_path = f"{folder}/x.accounts-2018-08-05.json", f"{folder}/tweets"
     append_records(raw_accounts(spark, sf_dir).drop("file_name"), account_path)
-    append_records(timelines(spark, sf_dir), post_path)
+    append_records(timelines(spark, sf_dir, I.TIMELINE_LENGTH), post_path)
     rows = extract(spark, account_path, post_path, spread=8).select(
         "user_id", "account_age_days", "num_followers", "tweet_rate", "total_tweets", "num_retweets",
         "unique_users_retweeted", "num_languages", "oldest_ts_long", "avg_time_to_retweet", "num_tweets_urls")

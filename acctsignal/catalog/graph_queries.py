@@ -8,6 +8,7 @@ from acctsignal.catalog.views import oracle_cte, table, view
 from acctsignal.operators import amplification as M
 from acctsignal.operators import followers as R
 from acctsignal.operators import graph as G
+from acctsignal.operators.ingest import TIMELINE_LENGTH
 from acctsignal.session import materialize
 
 TWEETS = oracle_cte("tweets")
@@ -48,6 +49,18 @@ def follower_runs(spark, sf_dir):
     return _runs(spark, sf_dir)
 
 
+_HOLES = _RUNS.replace("from followers)", """from (
+      select target, created_day, row_number() over (partition by target order by position) as position
+      from followers where position % 17 <> 0))""")
+
+
+@query(f"{FOLLOWERS}, {_HOLES} select target, start_position, end_position, length, created_day from runs")
+def follower_runs_with_gaps(spark, sf_dir):
+    """Lists that have lost every 17th entry: runs count the entries that are left."""
+    left = view(spark, sf_dir, "followers").where("position % 17 <> 0")
+    return R.follower_runs(left, 1000)
+
+
 @query(f"{FOLLOWERS}, {_RUNS} select target, threshold from thresholds")
 def run_thresholds(spark, sf_dir):
     return R.run_thresholds(_runs(spark, sf_dir))
@@ -105,7 +118,8 @@ select user_id, tweet_id, retweeted_status_id, round(rt_like_ratio, 6) as rt_lik
   row_number() over (partition by user_id order by rt_like_ratio, tweet_id)::int as priority
 from flagged where is_amplified and lower(rt_text) not like '%like%' and lower(rt_text) not like '%retweet%'""")
 def amplified_tweets(spark, sf_dir):
-    return rounded(M.amplified_tweets(view(spark, sf_dir, "tweets")), "rt_like_ratio")
+    rows = M.amplified_tweets(view(spark, sf_dir, "tweets"), limit=TIMELINE_LENGTH)
+    return rounded(rows, "rt_like_ratio")
 
 
 @query(f"{TWEETS}, {_TIMELINES} select user_id, inversions::int as inversions from inverted")

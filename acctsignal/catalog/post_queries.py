@@ -186,6 +186,16 @@ def last_timeline(spark, sf_dir):
         "user_id", "tweet_id")
 
 
+@query("""select account, event_id as tweet_id from (
+  select user_id % 15 as account, event_id,
+    row_number() over (partition by user_id % 15 order by ts desc, event_id desc) as r from events)
+where r <= 200""")
+def last_timeline_long(spark, sf_dir):
+    """The newest 200 of few accounts with many posts each."""
+    posts = view(spark, sf_dir, "tweets").withColumn("account", F.expr("user_id % 15"))
+    return newest_per_key(posts, ["account"], ["tweet_ts", "tweet_id"], TIMELINE_LENGTH).select("account", "tweet_id")
+
+
 _AGGREGATES = f"""
   wide as (
     select user_id, count(*) as total_tweets, count(retweeted_status_id) as num_retweets,

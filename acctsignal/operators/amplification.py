@@ -44,9 +44,9 @@ def asks_for_shares(text: Column, compat: bool = False) -> Column:
     return begs if compat else begs | lowered.contains("retweet")
 
 
-def timelines(posts: DataFrame) -> DataFrame:
-    """Every account's newest posts, as many as a timeline shows."""
-    return newest_per_key(posts, ["user_id"], POST_ORDER, TIMELINE_LENGTH)
+def timelines(posts: DataFrame, limit: int | None = None) -> DataFrame:
+    """Every account's posts; the newest ``limit``, if given."""
+    return posts if limit is None else newest_per_key(posts, ["user_id"], POST_ORDER, limit)
 
 
 def is_worth_following(compat: bool = False) -> Column:
@@ -55,13 +55,15 @@ def is_worth_following(compat: bool = False) -> Column:
             & ~asks_for_shares(F.col("rt_text"), compat))
 
 
-def amplified_tweets(posts: DataFrame, compat: bool = False) -> DataFrame:
-    """Amplified retweets per account; ``priority`` 1 has the lowest retweet/like ratio."""
+def amplified_tweets(posts: DataFrame, compat: bool = False, limit: int | None = None) -> DataFrame:
+    """Amplified retweets per account; ``priority`` 1 has the lowest retweet/like ratio.
+
+    ``limit`` looks only at each account's newest posts, as many as a service may show.
+    """
     ratio = rt_like_ratio(F.col("rt_retweet_count"), F.col("rt_favorite_count"))
-    # at most one timeline's posts per account are ranked
     by_ratio = Window.partitionBy("user_id").orderBy("rt_like_ratio", "tweet_id")
     return (
-        timelines(posts).where(is_worth_following(compat))
+        timelines(posts, limit).where(is_worth_following(compat))
         .withColumn("rt_like_ratio", ratio)
         .select("user_id", "tweet_id", "retweeted_status_id", "rt_like_ratio",
                 F.row_number().over(by_ratio).alias("priority"))
@@ -78,18 +80,18 @@ def _original_times() -> Column:
     return F.transform(ordered, lambda post: post["at"])
 
 
-def timeline_inversions(posts: DataFrame) -> DataFrame:
+def timeline_inversions(posts: DataFrame, limit: int | None = TIMELINE_LENGTH) -> DataFrame:
     """Per account, pairs of posts whose originals are in the opposite order."""
     return (
-        timelines(posts).groupBy("user_id").agg(_original_times().alias("times"))
+        timelines(posts, limit).groupBy("user_id").agg(_original_times().alias("times"))
         .select("user_id", inversions(F.col("times")).alias("inversions"))
     )
 
 
-def _score(posts: DataFrame, compat: bool) -> DataFrame:
+def _score(posts: DataFrame, compat: bool, limit: int | None = TIMELINE_LENGTH) -> DataFrame:
     is_retweet = F.col("retweeted_status_id").isNotNull()
     return (
-        timelines(posts).groupBy("user_id")
+        timelines(posts, limit).groupBy("user_id")
         .agg(
             F.count("*").alias("posts"),
             F.count_if(is_retweet).alias("retweets"),
@@ -111,9 +113,13 @@ def _score(posts: DataFrame, compat: bool) -> DataFrame:
     )
 
 
-def retweet_bots(posts: DataFrame) -> DataFrame:
-    """Accounts that mostly retweet, mostly amplified posts, in an unnatural order."""
-    return _score(posts, compat=False).where("is_bot").select(
+def retweet_bots(posts: DataFrame, limit: int | None = TIMELINE_LENGTH) -> DataFrame:
+    """Accounts that mostly retweet, mostly amplified posts, in an unnatural order.
+
+    The test was made for what the service shows of an account, its newest 200 posts; ``limit=None`` looks
+    at all.
+    """
+    return _score(posts, False, limit).where("is_bot").select(
         "user_id", "posts", "retweets", "amplified", "retweet_share", "amplified_share", "inversions")
 
 

@@ -1,7 +1,8 @@
 """Bought followers: long runs of followers whose accounts were made on one day.
 
-Input: ``target``, ``position`` (1, 2, … in follow order, without holes) and ``created_day``.
-Lists are processed in chunks of positions, so one target's list is never in one task.
+Input: ``target``, ``position`` (rising in follow order; holes are allowed) and ``created_day``.
+Lists are processed in chunks of positions, so one target's list is never in one task. Runs count list
+entries: positions in results are numbered anew, 1, 2, … without holes.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from acctsignal.operators.ordered import add_neighbour
+from acctsignal.operators.ordered import add_neighbour, add_running_sum
 from acctsignal.session import materialize
 
 POSITIONS_PER_CHUNK = 1_000_000
@@ -17,6 +18,14 @@ POSITIONS_PER_CHUNK = 1_000_000
 MERGE_GAP = 5
 
 
+def dense_positions(followers: DataFrame, chunk: int = POSITIONS_PER_CHUNK) -> DataFrame:
+    """The list with entries numbered 1, 2, … in the order of their positions."""
+    chunked = followers.select("target", "position", "created_day",
+                               F.expr(f"position div {chunk}").alias("chunk"))
+    counted = add_running_sum(chunked, ["target"], "chunk", ["position"], F.lit(1), "earlier")
+    return counted.select("target", (F.col("earlier") + 1).alias("position"), "created_day")
+
+
 def follower_runs(followers: DataFrame, chunk: int = POSITIONS_PER_CHUNK) -> DataFrame:
     """Run-length encoding: ``target, start_position, end_position, length, created_day``.
 
@@ -25,7 +34,7 @@ def follower_runs(followers: DataFrame, chunk: int = POSITIONS_PER_CHUNK) -> Dat
     own = F.expr(f"position div {chunk}")
     # the last position of a chunk also goes, as a guest, in front of the next chunk
     is_last = F.col("position") % chunk == chunk - 1
-    chunked = followers.select("target", "position", "created_day").withColumn(
+    chunked = dense_positions(followers, chunk).withColumn(
         "chunk", F.explode(F.when(is_last, F.array(own, own + 1)).otherwise(F.array(own))))
     in_chunk = Window.partitionBy("target", "chunk").orderBy("position")
     before = F.lag("created_day").over(in_chunk)

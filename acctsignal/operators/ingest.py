@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from acctsignal.functions import post_time
 from acctsignal.operators.ordered import newest_per_key
 
-# Posts one timeline holds.
+# Posts that the collecting service shows of one account.
 TIMELINE_LENGTH = 200
 
 # The columns of the flat post table, and the post's field each comes from.
@@ -59,14 +59,15 @@ def explode_posts(timelines: DataFrame) -> DataFrame:
 
 
 def nest_posts(posts: DataFrame, account: list[str], post: list[str], order: list[str],
-               limit: int = TIMELINE_LENGTH) -> DataFrame:
-    """One row per account with its newest ``limit`` posts as an array, newest first.
+               limit: int | None = None) -> DataFrame:
+    """One row per account with its posts as an array, newest first; the newest ``limit``, if given.
 
     ``account`` is the key and what else the record says of the account, taken from the
-    newest post. The limit comes before the arrays are built, so none outgrows it.
+    newest post. A limit comes before the arrays are built, so none outgrows it; without one an
+    array is as long as its account's list of posts.
     """
     key, *others = account
-    newest = newest_per_key(posts, [key], order, limit)
+    newest = posts if limit is None else newest_per_key(posts, [key], order, limit)
     at = F.struct(*order)
     entry = F.struct(*[F.col(c) for c in dict.fromkeys([*order, *post])])
     return newest.groupBy(key).agg(

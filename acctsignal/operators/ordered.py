@@ -18,6 +18,8 @@ from acctsignal.functions import count_not_above
 MAX_ROWS_PER_SLICE = 20_000_000
 # Sampled rows per slice, from which the cuts of a long key are taken.
 SAMPLES_PER_SLICE = 64
+# Parts of a key that are cut on their own before the key is.
+SALTS = 32
 # Copies of a row that one task writes at a time.
 COPIES_PER_STEP = 1_000_000
 
@@ -200,8 +202,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: i
 def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
     """The last ``k`` rows of every key along ``order``, NULL order values counting as oldest.
 
-    For small ``k`` Spark cuts each input partition to ``k`` rows per key before the
-    shuffle, so a long key costs at most k rows per partition.
+    Cut twice, per (key, salt) and then per key, so that no task sorts more than a share of a long
+    key or ``SALTS`` times ``k`` rows. For small ``k`` Spark also cuts each input partition.
     """
-    ranking = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    return df.withColumn("_rank", F.row_number().over(ranking)).where(F.col("_rank") <= k).drop("_rank")
+    newest_first = [F.col(c).desc_nulls_last() for c in order]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    for groups in ([*keys, "_salt"], keys):
+        ranking = Window.partitionBy(*groups).orderBy(*newest_first)
+        salted = salted.withColumn("_rank", F.row_number().over(ranking)).where(F.col("_rank") <= k).drop("_rank")
+    return salted.drop("_salt")

@@ -166,7 +166,7 @@ def mean_gaps(compat: bool = False) -> list[Column]:
     """
     ts = F.col("tweet_ts_long")
     number, first, last = F.count(ts), F.min(ts), F.max(ts)
-    earlier = F.sum(ts.cast("double")) - last
+    earlier = (F.sum(ts.cast("decimal(20,0)")) - last).cast("double")  # exact, in whatever order
     gap = F.try_divide((last - first).cast("double"), number - 1)
     if compat:
         # the first post's gap is its whole time, unless undated posts precede it
@@ -200,12 +200,13 @@ def hours_tweeted(posts: DataFrame) -> DataFrame:
 def duplicate_texts(posts: DataFrame) -> DataFrame:
     """How many texts an account posted more than once on one day, over all days and at most.
 
-    Only posts that are neither retweets nor replies count.
+    Only posts that are neither retweets nor replies count. Texts are told apart by a 256-bit digest, so
+    that texts aren't shuffled.
     """
     return (
         posts.where("retweeted_status_id is null and in_reply_to_user_id is null")
         .where("tweet_text is not null and tweet_date is not null")
-        .groupBy("user_id", "tweet_date", "tweet_text").count()
+        .groupBy("user_id", "tweet_date", F.sha2("tweet_text", 256).alias("text_digest")).count()
         .where("count > 1")
         .groupBy("user_id", "tweet_date").agg(F.count("*").alias("texts"))
         .groupBy("user_id")

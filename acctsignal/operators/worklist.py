@@ -33,8 +33,8 @@ def next_work(work: DataFrame, limit: int = BATCH, min_tweets: int = MIN_TWEETS,
 
 
 def unseen(accounts: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
-    """Accounts that are not in ``known`` yet."""
-    return accounts.join(known.select(key), key, "left_anti")
+    """Accounts that are not in ``known`` yet, which may name an account often."""
+    return accounts.join(known.select(key).distinct(), key, "left_anti")
 
 
 def hydrate(ids: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -37,14 +37,26 @@ def read_posts(spark: SparkSession, path: str | list[str], spread: int | None =
 
 
 def read_training_accounts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Labelled accounts: CSV with a header line, columns found by name."""
-    # a header in another order would otherwise be read by position
-    header = spark.read.option("header", True).csv(path)
-    return header.select(*[
-        (F.col(f.name).try_cast(f.dataType) if f.name in header.columns
-         else F.lit(None).cast(f.dataType)).alias(f.name)
-        for f in schemas.training_account().fields
-    ])
+    """Labelled accounts: CSV with a header line in each file, columns found by name.
+
+    Files are read by their headers, one read for all files with the same one. Finding a file's first line
+    takes a pass over the lines; the files' names and headers come to the driver.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"))
+    files: dict[str, list[str]] = {}
+    for row in lines.groupBy("file").agg(F.min_by("value", "at").alias("header")).collect():
+        files.setdefault(row["header"], []).append(row["file"])
+    tables = []
+    for same in files.values():
+        found = spark.read.option("header", True).option("enforceSchema", False).csv(same)
+        tables.append(found.select(*[
+            (F.col(f.name).try_cast(f.dataType) if f.name in found.columns
+             else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in schemas.training_account().fields
+        ]))
+    return reduce(DataFrame.unionByName, tables) if tables else spark.createDataFrame([], schemas.training_account())
 
 
 def read_training_posts(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
@@ -94,7 +94,9 @@ class AccountStore:
     def add(self, accounts: DataFrame, batch_id: int, found_date: Column | None = None) -> None:
         """Store the accounts of a micro-batch that no other batch has stored."""
         earlier = self.work_list().where(F.col("batch") != batch_id)
-        fresh = unseen(accounts.dropDuplicates(["id"]), earlier)
+        once = accounts.withColumn("_place", F.row_number().over(
+            Window.partitionBy("id").orderBy(F.xxhash64(*accounts.columns)))).where("_place = 1").drop("_place")
+        fresh = unseen(once, earlier)
         fresh = fresh.select(*[
             (F.col(f.name) if f.name in fresh.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in schemas.account().fields])

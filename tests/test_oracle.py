@@ -1,6 +1,7 @@
 """Every named query against the checking database on the same tables."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -45,7 +46,8 @@ def test_same_rows(spark, db, sf_dir, name):
 
 
 def test_every_query_is_checked_or_known_not_to_be():
-    assert set(E.queries()) - set(E.oracle_sql()) == {"smote", "cv_benchmark"}
+    own = {name for name in E.queries() if not re.match(r"op\d+_|pipeline$", name)}
+    assert own - set(E.oracle_sql()) == {"smote", "cv_benchmark"}
 
 
 def test_entry(spark):
