@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acctsignal.llm.batches import unused_name
-from acctsignal.llm.license_rules import PRIORITIES, Rule, rules
+from acctsignal.llm.license_rules import GATES, PRIORITIES, Rule, rules
 
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _MATCH, _END = "\u0001", "\u0002"  # no word holds them
@@ -28,10 +29,10 @@ def count_spaces(text: Column) -> Column:
 
 
 def _rule_table(table: list[Rule]) -> Column:
-    return F.array(*(F.struct(
-        F.lit(r.name).alias("name"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"),
-        F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"),
-        F.lit(f"(?<= )({r.regex})(?= )").alias("regex")) for r in table))
+    """The rules as one constant array of structs."""
+    rows = [r._asdict() | {"regex": f"(?<= )({r.regex})(?= )"} for r in table]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<name:string,label:string,keywords:array<string>,"
+                       "priority:int,confidence:double,regex:string>>")
 
 
 def _places(words: Column, rule: Column) -> Column:
@@ -72,23 +73,24 @@ def _unhidden(found: Column) -> Column:
     return F.aggregate(F.array_sort(found), begin, step)["kept"]
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", table: list[Rule] | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, text: str = "text", table: list[Rule] | None = None,
+                  gates: list[str] = GATES) -> DataFrame:
     """``docs`` with a struct ``licenses`` (underscores are added if there is such a column).
 
     ``n_words``; ``found``, all detections, and ``kept``, those that are not hidden, as structs with ``start``
     (number of the first word), ``back`` (minus the last word's number), ``name`` of the rule, ``label``, ``priority`` and
     ``confidence``. Words are runs of letters and digits, and of anything beyond ASCII. Null and empty texts have
-    no words and no detection. Rules are tried only in texts that contain their keyword.
+    no words and no detection. Only texts with one of ``gates`` are scanned, and rules are tried only in texts that
+    contain one of their keywords.
     """
     table = table or rules()
     given = docs.columns
     words, spans = unused_name(docs, "words"), unused_name(docs, "spans")
-    keywords = sorted({r.keyword for r in table})
-    any_keyword = reduce(lambda a, b: a | b, (F.col(words).contains(k) for k in keywords))
-    tried = F.filter(_rule_table(table), lambda r: F.contains(F.col(words), r["keyword"]))
+    any_gate = reduce(lambda a, b: a | b, (F.col(words).contains(g) for g in gates))
+    tried = F.filter(_rule_table(table), lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col(words), k)))
     found = F.flatten(F.transform(tried, lambda r: _places(F.col(words), r)))
     scanned = docs.withColumn(words, word_text(F.col(text))).withColumn(
-        spans, F.when(any_keyword, found).otherwise(F.array().cast(FOUND)))
+        spans, F.when(any_gate, found).otherwise(F.array().cast(FOUND)))
     n_words = F.when(F.length(words) > 2, count_spaces(F.col(words)) - 1).otherwise(0)
     return scanned.select(*given, F.struct(n_words.alias("n_words"), F.col(spans).alias("found"),
                                            _unhidden(F.col(spans)).alias("kept")).alias(unused_name(docs, "licenses")))
