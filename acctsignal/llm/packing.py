@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import os
 from array import array
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
 import numpy as np
@@ -36,14 +37,17 @@ _LATIN_END = "\u0250"
 _UNSURE = "\x1c\x1d\x1e\x1f\x85"
 
 
-def best_counts(counts: dict[int, int], room: int) -> dict[int, int]:
+def best_counts(counts: Mapping[int, int], room: int, lengths: list[int] | None = None) -> dict[int, int]:
     """How many of each length to take so that the sum comes closest to ``room`` without passing it.
 
     ``reached`` has bit s set if lengths seen so far can add up to s. Multiples 1, 2, 4, … of each length are offered,
     the longest first, until ``room`` is reached; the sums are traced back through the sets before each offer.
+    ``lengths`` are the keys of ``counts``, sorted.
     """
+    lengths = sorted(counts) if lengths is None else lengths
     reached, offers, full, most = 1, [], 1 << room, (1 << (room + 1)) - 1
-    for length in sorted((n for n in counts if n <= room), reverse=True):
+    for at in range(bisect_right(lengths, room) - 1, -1, -1):
+        length = lengths[at]
         left, times = min(counts[length], room // length), 1
         while left and not reached & full:
             times = min(times, left)
@@ -70,24 +74,32 @@ def pack_block(lengths: list[int], capacity: int) -> list[list[tuple[int, int, i
         if tokens % capacity:
             rests.setdefault(tokens % capacity, []).append((doc, whole * capacity))
 
+    counts = {n: len(r) for n, r in rests.items()}
+    left = sorted(rests)  # the lengths that are left
+
     def take(length: int) -> tuple[int, int]:
         found = rests[length].pop()
-        if not rests[length]:
-            del rests[length]
+        counts[length] -= 1
+        if not counts[length]:
+            del rests[length], counts[length], left[bisect_left(left, length)]
         return found
 
-    total = sum(n * len(r) for n, r in rests.items())
+    total = sum(n * times for n, times in counts.items())
     while total >= capacity:
-        longest = max(rests)
+        longest = left[-1]
         sequence = [(*take(longest), longest)]
-        for length, times in best_counts({n: len(r) for n, r in rests.items()}, capacity - longest).items():
+        for length, times in best_counts(counts, capacity - longest, left).items():
             sequence += [(*take(length), length) for _ in range(times)]
         missing = capacity - sum(p[2] for p in sequence)
         if missing:
-            longest = max(rests)  # longer than what is missing, or it had been taken
+            longest = left[-1]  # longer than what is missing, or it had been taken
             doc, start = take(longest)
             sequence.append((doc, start, missing))
-            rests.setdefault(longest - missing, []).append((doc, start + missing))
+            if longest - missing not in rests:
+                rests[longest - missing], counts[longest - missing] = [], 0
+                insort(left, longest - missing)
+            rests[longest - missing].append((doc, start + missing))
+            counts[longest - missing] += 1
         sequences.append(sequence)
         total -= capacity
     pieces = [(doc, start, n) for n, r in sorted(rests.items(), reverse=True) for doc, start in r]
@@ -117,8 +129,8 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.pieces = Remembered(self.encode_pieces, 200_000)
-        self.words = Remembered(self.encode_words, 300_000)
+        self.pieces = Remembered(self.encode_pieces, 300_000)
+        self.words = Remembered(self.encode_words, 450_000)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes()
