@@ -154,14 +154,15 @@ class WordTokens:
         """Ids of words without white space; those of Latin letters are put together from their pieces' ids."""
         cut = []
         for w in words:
+            low = w.lower()  # may hold a mark that is no letter, which then belongs to the punctuation behind it
             if not (w.isascii() or max(w) < _LATIN_END):
                 cut.append([w])
-            elif w.isalpha():
-                cut.append([w.lower()])
-            elif w[-1] in ".,;:!?" and w[:-1].isalpha():
-                cut.append([w[:-1].lower(), w[-1]])
+            elif low.isalpha():
+                cut.append([low])
+            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+                cut.append([low[:-1], low[-1]])
             else:
-                cut.append(PIECES.findall(w.lower()))
+                cut.append(PIECES.findall(low))
         different = list({p for pieces in cut for p in pieces})
         ids = dict(zip(different, self.pieces.of(different)))
         return [b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
