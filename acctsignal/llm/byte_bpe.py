@@ -2,7 +2,8 @@
 
 New pieces of text are encoded together. An index holds, for each pair of neighbouring symbols, all places where
 it stands; the ranks of the pairs that occur are active. The lowest active rank is merged at all its places, which
-updates the lists of the neighbouring pairs, until no rank is active.
+updates the index at the neighbouring pairs, until no rank is active. The index of short pieces is one array, whose
+pieces go up their ranks side by side; long pieces have a list of places for each rank.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from acctsignal.llm.batches import Remembered, in_chunks, unused_name
 
 #: Fixed value: how the byte-level vocabulary cuts a text into pieces.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Bytes from which on a piece has lists of its own; below, a piece has few different pairs.
+LONG_PIECE = 64
+#: Rank of two symbols that are not merged.
+NO_RANK = np.int32(2**31 - 1)
 #: Characters whose units are looked up together.
 _CHARS_AT_ONCE = 2_000_000
 #: Characters other than space and line feed that may count as white space.
@@ -54,15 +59,88 @@ class ByteBpe:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.rank_of[vocabulary[left] << 32 | vocabulary[right]] = rank
             self.merges.append((vocabulary[left], vocabulary[right], vocabulary[left + right]))
+        order = sorted(self.rank_of)
+        self.sorted_pairs = np.array(order, np.int64)
+        self.sorted_ranks = np.array([self.rank_of[pair] for pair in order], np.int32)
+        self.merged = np.array([merged for _, _, merged in self.merges], np.int32)
+        self.symbol_of_byte = np.array(self.of_byte, np.int32)
         self.pieces = Remembered(self.merge_all, 200_000)
         self.units = Remembered(self.encode_units, 300_000)
         self.first_units = Remembered(lambda texts: self.encode_units(texts, ""), 50_000)
 
     def merge_all(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, as 32-bit numbers. Symbols are a list with links; gaps keep pieces apart."""
+        """Ids of each piece, as 32-bit numbers."""
+        encoded = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        long = np.flatnonzero(lengths > LONG_PIECE).tolist()
+        if not long:
+            return self.merge_side_by_side(encoded, lengths)
+        short = np.flatnonzero(lengths <= LONG_PIECE)
+        result: list[bytes] = [b""] * len(pieces)
+        for at, ids in zip(short.tolist(), self.merge_side_by_side([encoded[i] for i in short], lengths[short])):
+            result[at] = ids
+        for at, ids in zip(long, self.merge_by_lists([encoded[i] for i in long])):
+            result[at] = ids
+        return result
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of symbols; NO_RANK if they are not merged."""
+        pairs = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.sorted_pairs, pairs)
+        at[at == len(self.sorted_pairs)] = 0
+        return np.where(self.sorted_pairs[at] == pairs, self.sorted_ranks[at], NO_RANK)
+
+    def merge_side_by_side(self, pieces: list[bytes], lengths: np.ndarray) -> list[bytes]:
+        """Ids of short pieces. The index holds the rank of the pair at every place, in the order of the pieces.
+
+        Pieces do not touch each other, so each goes up its own active ranks: a round applies the lowest of every
+        piece at all its places and looks up the pairs beside them. Pieces without an active rank leave.
+        """
+        symbols = self.symbol_of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
+        rank = np.full(len(symbols), NO_RANK, np.int32)
+        inside = np.flatnonzero(piece[1:] == piece[:-1])
+        rank[inside] = self.ranks(symbols[inside], symbols[inside + 1])
+        done_pieces, done_symbols = [], []
+        while len(symbols):
+            starts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+            sizes = np.diff(np.r_[starts, len(piece)])
+            lowest = np.repeat(np.minimum.reduceat(rank, starts), sizes)
+            active = lowest != NO_RANK
+            if not active.all():
+                done_pieces.append(piece[~active])
+                done_symbols.append(symbols[~active])
+                symbols, piece, rank, lowest = symbols[active], piece[active], rank[active], lowest[active]
+                if not len(symbols):
+                    break
+            places = np.flatnonzero(rank == lowest)
+            if np.any(places[1:] == places[:-1] + 1):  # a run of one symbol: every other place, from its start
+                number = np.arange(len(places))
+                first = np.r_[True, places[1:] != places[:-1] + 1]
+                places = places[(number - np.maximum.accumulate(np.where(first, number, 0))) % 2 == 0]
+            symbols[places] = self.merged[rank[places]]
+            keep = np.ones(len(symbols), bool)
+            keep[places + 1] = False
+            symbols, piece, rank = symbols[keep], piece[keep], rank[keep]
+            places -= np.arange(len(places))  # each merge before a place has taken one symbol away
+            touched = np.r_[places, places[places > 0] - 1]
+            touched = touched[touched + 1 < len(symbols)]
+            touched = touched[piece[touched] == piece[touched + 1]]
+            rank[places] = NO_RANK
+            rank[touched] = self.ranks(symbols[touched], symbols[touched + 1])
+        if not done_pieces:
+            return [b""] * len(pieces)
+        piece = np.concatenate(done_pieces)
+        flat = np.concatenate(done_symbols)[np.argsort(piece, kind="stable")].tobytes()
+        ends = (4 * np.cumsum(np.bincount(piece, minlength=len(pieces)))).tolist()
+        return [flat[start:end] for start, end in zip([0, *ends], ends)]
+
+    def merge_by_lists(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of long pieces. Symbols are a list with links, and each rank has the list of its places, so that a
+        merge costs what it changes, however long the piece is; gaps keep pieces apart."""
         symbols, ends = [-1], []
         for piece in pieces:
-            symbols += map(self.of_byte.__getitem__, piece.encode("utf-8", "surrogatepass"))
+            symbols += map(self.of_byte.__getitem__, piece)
             ends.append(len(symbols))
             symbols.append(-1)
         after = list(range(1, len(symbols) + 1))
@@ -103,10 +181,14 @@ class ByteBpe:
 
     def encode_units(self, units: list[str], lead: str = " ") -> list[bytes]:
         """Ids of texts that stand between single spaces; ``lead`` is the space before each."""
-        cut = [PIECES.findall(lead + u) for u in units]
-        different = list({p for pieces in cut for p in pieces})
-        ids = dict(zip(different, self.pieces.of(different)))
-        return [b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
+        whole = [u.isascii() and u.isalpha() for u in units]  # a word is one piece
+        cut = [() if one else tuple(PIECES.findall(lead + u)) for u, one in zip(units, whole)]
+        different = [lead + u for u, one in zip(units, whole) if one]
+        words = len(different)
+        different += {p for pieces in cut for p in pieces}.difference(different)
+        found = self.pieces.of(different)
+        ids, of_word = dict(zip(different, found)), iter(found[:words])
+        return [next(of_word) if one else b"".join(map(ids.__getitem__, pieces)) for pieces, one in zip(cut, whole)]
 
     def encode_plain(self, text: str) -> bytes:
         """Ids of a text without special tokens, whatever its white space."""
