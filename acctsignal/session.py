@@ -17,6 +17,9 @@ SQL_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+#: Whether a query's shuffle files are deleted when it ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def get_spark(app_name: str = "acctsignal", master: str | None = None,
               conf: dict[str, str] | None = None) -> SparkSession:
@@ -76,9 +79,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage of iterative jobs, survives the loss of executors, and gives the
-    optimizer exact sizes for its broadcast decisions in the next step.
+    optimizer exact sizes for its broadcast decisions in the next step. Nothing reads
+    the write's shuffle files after it, so they go at once.
     """
     spark = df.sparkSession
     path = new_shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
