@@ -27,7 +27,7 @@ from acctsignal.llm.components import contract
 from acctsignal.session import materialize
 
 #: Largest size of a band is this many times its smallest.
-BAND_RATIO = 1.6
+BAND_RATIO = 1.8
 #: Longs of the short sketch.
 SKETCH_WORDS = 16
 #: Ids of candidate texts are broadcast up to this many (16 bytes each), else joined by a shuffle.
@@ -74,8 +74,11 @@ def piece_keys(hashes: np.ndarray, threshold: int) -> np.ndarray:
     """Keys of the sketch's pieces in each band of the set's size.
 
     A piece's key is the XOR of a code for each of its set bits, so shingles that flip the same bit cancel. A band has
-    D + 1 pieces and some more; pieces without a set bit are left out unless there are more of them than these: two
-    similar sets agree in a piece that is not empty, or both keep their empty ones.
+    D + 1 pieces and some to spare. A set of n shingles differs from similar sets that are not smaller in at most
+    n * (100 - threshold) / threshold shingles, so its first so many pieces, one more and the spare ones will do: of
+    two similar sets the smaller one's pieces are among the larger one's. Pieces without a set bit are left out unless
+    there are more of them than spare ones: two similar sets agree in a piece that is not empty, or both keep their
+    empty ones.
     """
     keys = []
     for k, (low, high, most) in enumerate(bands(threshold)):
@@ -83,19 +86,19 @@ def piece_keys(hashes: np.ndarray, threshold: int) -> np.ndarray:
             break
         if high < len(hashes):
             continue
-        spare = (most + 1) // 16
+        spare = (most + 1) // 8
         pieces = most + 1 + spare
+        sent = min(pieces, len(hashes) * (100 - threshold) // threshold + 1 + spare)
         place = mix64(hashes ^ mix64(np.array([k + 1], np.uint64)))
         piece = ((place >> _HALF) * np.uint64(pieces)) >> _HALF
-        order = np.argsort(piece, kind="stable")
-        piece, bit = piece[order], place[order] & _LOW
-        first = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
-        parity = np.zeros(pieces, np.uint64)
-        parity[piece[first].astype(np.int64)] = np.bitwise_xor.reduceat(mix64(bit + (piece << _HALF)), first)
+        inside = piece < np.uint64(sent)
+        piece, bit = piece[inside], place[inside] & _LOW
+        parity = np.zeros(sent, np.uint64)
+        np.bitwise_xor.at(parity, piece.astype(np.int64), mix64(bit + (piece << _HALF)))
         if np.count_nonzero(parity == 0) <= spare:
             number = np.flatnonzero(parity)
         else:
-            number = np.arange(pieces)
+            number = np.arange(sent)
         keys.append(mix64(parity[number] ^ mix64(number.astype(np.uint64) + (np.uint64(k + 1) << _HALF))))
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
@@ -117,18 +120,25 @@ def set_identity(hashes: np.ndarray) -> tuple[int, int]:
 _ROWS = "doc_id long, text_key long, n long, node long, other long, keys array<long>, sketch array<long>"
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[list[list]]:
+    """The columns of few rows at a time, so that a worker's memory does not follow the Arrow batch."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield [column.to_pylist() for column in batch.slice(first, rows).columns]
+
+
 def _sketched(width: int, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # sets whose pieces this task has sent, so that copies send them once
-        for batch in batches:
+        for columns in _parts(batches):
             out: list[list] = [[], [], [], [], [], [], []]
             size = 0
-            for doc_id, text, text_key in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text, text_key in zip(*columns):
                 hashes = shingle_hashes(text, width)
                 node, other = set_identity(hashes) if len(hashes) else (None, None)
                 keys = sketch = None
                 if node is not None and node not in seen:
-                    if len(seen) >= 500_000:
+                    if len(seen) >= 200_000:
                         seen.clear()
                     seen.add(node)
                     keys, sketch = piece_keys(hashes, threshold).view(np.int64), short_sketch(hashes)
@@ -152,12 +162,12 @@ def _batch(columns: list[list]) -> pa.RecordBatch:
 def _named(width: int):
     """(doc_id, text) to (node, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for _, texts in _parts(batches):
             nodes = []
-            for text in batch.column(1).to_pylist():
+            for text in texts:
                 hashes = shingle_hashes(text, width)
                 nodes.append(set_identity(hashes)[0] if len(hashes) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(1)], ["node", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], ["node", "text"])
 
     return run
 
@@ -165,15 +175,16 @@ def _named(width: int):
 def _linked(width: int, threshold: int):
     """(a, b, text_a, text_b) to (a, b, linked)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked, known = [], (None, None)
-            for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        known = None, None
+        for a, b, lefts, rights in _parts(batches):
+            linked = []
+            for left, right in zip(lefts, rights):
                 if known[0] != left:
                     known = left, shingle_hashes(left, width)
                 x, y = known[1], shingle_hashes(right, width)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * both >= threshold * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())],
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())],
                                              ["a", "b", "linked"])
 
     return run
@@ -229,7 +240,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
 
     pieces = rows.where("keys is not null").select("node", F.explode("keys").alias("key"))
     shared = pieces.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    members = materialize(pieces.join(shared.select("key"), "key").distinct(), "members")
+    shared = materialize(shared.select("key"), "shared")
+    members = materialize(pieces.join(shared, "key").distinct(), "members")
     labels = _joined_components(ids, rows, nodes, members, width, threshold, pivot_rounds)
 
     if labels is None:
