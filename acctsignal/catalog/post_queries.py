@@ -8,7 +8,7 @@ from acctsignal.catalog.views import oracle_cte, table, view
 from acctsignal.operators import posts as P
 from acctsignal.operators.features import with_features
 from acctsignal.operators.ingest import TIMELINE_LENGTH
-from acctsignal.operators.ordered import newest_per_key
+from acctsignal.operators.ordered import SALTS, newest_per_key
 from acctsignal.plans.assemble import assemble
 
 TWEETS = oracle_cte("tweets")
@@ -193,7 +193,7 @@ where r <= 200""")
 def last_timeline_long(spark, sf_dir):
     """The newest 200 of few accounts with many posts each."""
     posts = view(spark, sf_dir, "tweets").withColumn("account", F.expr("user_id % 15"))
-    return newest_per_key(posts, ["account"], ["tweet_ts", "tweet_id"], TIMELINE_LENGTH).select("account", "tweet_id")
+    return newest_per_key(posts, ["account"], ["tweet_ts", "tweet_id"], TIMELINE_LENGTH, SALTS).select("account", "tweet_id")
 
 
 _AGGREGATES = f"""

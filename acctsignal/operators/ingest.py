@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acctsignal.functions import post_time
-from acctsignal.operators.ordered import newest_per_key
+from acctsignal.operators.ordered import SALTS, newest_per_key
 
 # Posts that the collecting service shows of one account.
 TIMELINE_LENGTH = 200
@@ -67,7 +67,7 @@ def nest_posts(posts: DataFrame, account: list[str], post: list[str], order: lis
     array is as long as its account's list of posts.
     """
     key, *others = account
-    newest = posts if limit is None else newest_per_key(posts, [key], order, limit)
+    newest = posts if limit is None else newest_per_key(posts, [key], order, limit, SALTS)
     at = F.struct(*order)
     entry = F.struct(*[F.col(c) for c in dict.fromkeys([*order, *post])])
     return newest.groupBy(key).agg(

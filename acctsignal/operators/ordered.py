@@ -199,15 +199,16 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: i
     )
 
 
-def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
+def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, salts: int = 1) -> DataFrame:
     """The last ``k`` rows of every key along ``order``, NULL order values counting as oldest.
 
-    Cut twice, per (key, salt) and then per key, so that no task sorts more than a share of a long
-    key or ``SALTS`` times ``k`` rows. For small ``k`` Spark also cuts each input partition.
+    For small ``k`` Spark cuts each input partition before the shuffle, so a task sorts at most ``k`` rows
+    of each partition. Where a key is in very many partitions, give ``salts``: rows are then cut
+    twice, per (key, salt) and then per key, at the price of a second shuffle of what is left.
     """
     newest_first = [F.col(c).desc_nulls_last() for c in order]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
-    for groups in ([*keys, "_salt"], keys):
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    for groups in ([*keys, "_salt"], keys) if salts > 1 else (keys,):
         ranking = Window.partitionBy(*groups).orderBy(*newest_first)
         salted = salted.withColumn("_rank", F.row_number().over(ranking)).where(F.col("_rank") <= k).drop("_rank")
     return salted.drop("_salt")
