@@ -14,9 +14,13 @@ from acctsignal.llm.language import fit_languages, predict_language
 from acctsignal.llm.licenses import license_summary, scan_licenses
 from acctsignal.llm.packing import pack_documents
 from acctsignal.llm.parity_join import near_duplicates
+from acctsignal.llm.prefix_trie import branched, prefix_trie, sequences
 from acctsignal.llm.quality import fit_quality, quality_score
 from acctsignal.llm.shards import shard_documents
+from acctsignal.llm.substrings import remove_repeated
 from acctsignal.llm.topk import top_k
+from acctsignal.llm.whitening import whiten
+from acctsignal.session import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,3 +144,29 @@ def op10_parity_join(spark, sf_dir):
     """Components of texts whose 3-word shingles are alike to 0.9."""
     found = near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=90)
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query()
+def op11_lcp_trie(spark, sf_dir):
+    """Prefix trie of conversations that begin like another of their hundred."""
+    own = materialize(sequences(table(spark, sf_dir, "conversations")), "sequences")
+    return prefix_trie(branched(own, 100, 6))
+
+
+@query()
+def op12_window_dedup(spark, sf_dir):
+    """All documents without the words of 50-word windows that a smaller id has too."""
+    found = remove_repeated(table(spark, sf_dir, "documents"), 50)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, span: n + span["stop"] - span["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op13_weighted_whitening(spark, sf_dir):
+    """All vectors whitened to 32 components, a row per vector and component."""
+    rows = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 32)
+    found = rows.select("vec_id", "whitening.*")
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "of")
+    return found.select("vec_id", "n", "deviation", "identity_error", each).select(
+        "vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "of.whitened", "of.explained",
+        "identity_error")
