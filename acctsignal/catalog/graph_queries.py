@@ -107,7 +107,7 @@ _TIMELINES = """
       sum(coalesce(is_amplified, false)::int)::bigint as amplified from flagged group by user_id),
   bots as (
     select user_id, posts, retweets, amplified, retweets::double / posts as retweet_share,
-      amplified::double / retweets as amplified_share, inversions::int as inversions
+      amplified::double / retweets as amplified_share, inversions
     from shares join inverted using (user_id)
     where retweets > 0 and retweets::double / posts >= 0.9 and amplified::double / retweets >= 1.0 / 3
       and inversions >= 100)"""
@@ -122,15 +122,53 @@ def amplified_tweets(spark, sf_dir):
     return rounded(rows, "rt_like_ratio")
 
 
-@query(f"{TWEETS}, {_TIMELINES} select user_id, inversions::int as inversions from inverted")
+_LONG = oracle_cte("long_tweets").replace("long_tweets as", "tweets as")
+_WHOLE = _TIMELINES.replace("where age <= 200", "")
+_AMPLIFIED_SQL = """select user_id, tweet_id, retweeted_status_id, round(rt_like_ratio, 6) as rt_like_ratio,
+  row_number() over (partition by user_id order by rt_like_ratio, tweet_id)::int as priority
+from flagged where is_amplified and lower(rt_text) not like '%like%' and lower(rt_text) not like '%retweet%'"""
+_BOT_SQL = """select user_id, posts, retweets, amplified,
+  round(retweet_share, 6) as retweet_share, round(amplified_share, 6) as amplified_share, inversions from bots"""
+
+
+@query(f"{_LONG}, {_TIMELINES} {_AMPLIFIED_SQL}")
+def amplified_tweets_newest(spark, sf_dir):
+    """Accounts with more posts than the service shows: the newest 200 only."""
+    rows = M.amplified_tweets(view(spark, sf_dir, "long_tweets"), limit=TIMELINE_LENGTH)
+    return rounded(rows, "rt_like_ratio")
+
+
+@query(f"{_LONG}, {_WHOLE} {_AMPLIFIED_SQL}")
+def amplified_tweets_all(spark, sf_dir):
+    return rounded(M.amplified_tweets(view(spark, sf_dir, "long_tweets")), "rt_like_ratio")
+
+
+@query(f"{TWEETS}, {_TIMELINES} select user_id, inversions from inverted")
 def inversions(spark, sf_dir):
-    return M.timeline_inversions(view(spark, sf_dir, "tweets"))
+    return M.timeline_inversions(view(spark, sf_dir, "tweets"), TIMELINE_LENGTH)
+
 
+@query(f"{_LONG}, {_WHOLE} select user_id, inversions from inverted")
+def inversions_all(spark, sf_dir):
+    """Whole timelines of few accounts with many posts each."""
+    return M.timeline_inversions(view(spark, sf_dir, "long_tweets"))
 
-@query(f"""{TWEETS}, {_TIMELINES} select user_id, posts, retweets, amplified,
-  round(retweet_share, 6) as retweet_share, round(amplified_share, 6) as amplified_share, inversions from bots""")
+
+@query(f"{TWEETS}, {_TIMELINES} {_BOT_SQL}")
 def retweet_bots(spark, sf_dir):
-    return rounded(M.retweet_bots(view(spark, sf_dir, "tweets")), "retweet_share", "amplified_share")
+    rows = M.retweet_bots(view(spark, sf_dir, "tweets"), TIMELINE_LENGTH)
+    return rounded(rows, "retweet_share", "amplified_share")
+
+
+@query(f"{_LONG}, {_TIMELINES} {_BOT_SQL}")
+def retweet_bots_newest(spark, sf_dir):
+    rows = M.retweet_bots(view(spark, sf_dir, "long_tweets"), TIMELINE_LENGTH)
+    return rounded(rows, "retweet_share", "amplified_share")
+
+
+@query(f"{_LONG}, {_WHOLE} {_BOT_SQL}")
+def retweet_bots_all(spark, sf_dir):
+    return rounded(M.retweet_bots(view(spark, sf_dir, "long_tweets")), "retweet_share", "amplified_share")
 
 
 # A walk from account 0; the recursion meets account/status pairs, first hops are taken after it.
@@ -155,7 +193,7 @@ _RECURSIVE = TWEETS.replace("with ", "with recursive ", 1)
 
 
 def _walk(spark, sf_dir):
-    return M.amplification_graph(view(spark, sf_dir, "tweets"), seed=0, compat=True)
+    return M.amplification_graph(view(spark, sf_dir, "tweets"), seed=0, compat=True, limit=TIMELINE_LENGTH)
 
 
 @query(f"""{_RECURSIVE}, {_TIMELINES}, {_WALK}
@@ -164,6 +202,13 @@ def amplification_edges(spark, sf_dir):
     return _walk(spark, sf_dir).edges
 
 
+@query(f"""{_LONG.replace("with ", "with recursive ", 1)}, {_WHOLE}, {_WALK}
+select s.user_id, s.status_id, met.hop::int as hop from met join shared s using (status_id)""")
+def amplification_edges_all(spark, sf_dir):
+    """The walk over whole timelines."""
+    return M.amplification_graph(view(spark, sf_dir, "long_tweets"), seed=0, compat=True).edges
+
+
 @query(f"{_RECURSIVE}, {_TIMELINES}, {_WALK} select status_id, hop::int as hop from met")
 def amplification_statuses(spark, sf_dir):
     return _walk(spark, sf_dir).statuses

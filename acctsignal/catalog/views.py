@@ -52,6 +52,9 @@ from (
   from (select *, cast(regexp_extract(props,'([0-9]+)',1) as bigint) as k from events) a) b
 """
 
+# Few accounts with many posts each.
+LONG_TWEETS = TWEETS.replace("event_id as tweet_id, user_id,", "event_id as tweet_id, user_id % 10 as user_id,")
+
 FOLLOWERS = """
 select target, row_number() over (partition by target order by event_id) as position,
   case when m < 60 then -1 - b*2 when m between 75 and 129 then -2 - b*2
@@ -66,7 +69,7 @@ from (select o_custkey % 200 as s, (o_orderkey*31) % 200 as t, o_orderdate from
 where s <> t group by s, t
 """
 
-_BASE = {"accounts": (ACCOUNTS, "customer"), "tweets": (TWEETS, "events"),
+_BASE = {"accounts": (ACCOUNTS, "customer"), "tweets": (TWEETS, "events"), "long_tweets": (LONG_TWEETS, "events"),
          "followers": (FOLLOWERS, "events"), "edges": (EDGES, "orders")}
 
 

@@ -2,7 +2,6 @@
 
 from acctsignal.functions.geo import great_circle_miles
 from acctsignal.functions.numbers import flag, rate
-from acctsignal.functions.search import count_not_above
 from acctsignal.functions.text import (
     digit_count,
     entropy,
@@ -14,7 +13,7 @@ from acctsignal.functions.text import (
 from acctsignal.functions.times import dump_date, inversions, post_time, table_time
 
 __all__ = [
-    "count_not_above", "digit_count", "dump_date", "entropy", "flag", "great_circle_miles",
+    "digit_count", "dump_date", "entropy", "flag", "great_circle_miles",
     "has_all_terms", "inversions", "leading_digits", "post_time", "rate", "table_time",
     "trailing_digits", "xml_escape",
 ]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from acctsignal.functions import inversions
 from acctsignal.operators.hops import HopTable
-from acctsignal.operators.ingest import TIMELINE_LENGTH
+from acctsignal.operators.inversions import count_inversions
 from acctsignal.operators.ordered import newest_per_key
 from acctsignal.operators.posts import POST_ORDER
 from acctsignal.session import materialize
@@ -80,47 +80,60 @@ def _original_times() -> Column:
     return F.transform(ordered, lambda post: post["at"])
 
 
-def timeline_inversions(posts: DataFrame, limit: int | None = TIMELINE_LENGTH) -> DataFrame:
-    """Per account, pairs of posts whose originals are in the opposite order."""
+def timeline_inversions(posts: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per account, pairs of posts whose originals are in the opposite order.
+
+    A timeline cut to its newest ``limit`` posts is short enough to be counted as an array; whole ones are counted bit
+    by bit over many tasks.
+    """
+    if limit is None:
+        return count_inversions(posts, "user_id", POST_ORDER, original_time())
     return (
         timelines(posts, limit).groupBy("user_id").agg(_original_times().alias("times"))
-        .select("user_id", inversions(F.col("times")).alias("inversions"))
+        .select("user_id", inversions(F.col("times")).cast("bigint").alias("inversions"))
     )
 
 
-def _score(posts: DataFrame, compat: bool, limit: int | None = TIMELINE_LENGTH) -> DataFrame:
+def _shares() -> list[Column]:
     is_retweet = F.col("retweeted_status_id").isNotNull()
-    return (
-        timelines(posts, limit).groupBy("user_id")
-        .agg(
-            F.count("*").alias("posts"),
-            F.count_if(is_retweet).alias("retweets"),
-            F.count_if(is_retweet & is_amplified()).alias("amplified"),
-            _original_times().alias("times"),
-            F.collect_set(F.when(is_worth_following(compat), F.col("retweeted_status_id")))
-            .alias("statuses"),
-        )
-        .withColumns({
-            "retweet_share": F.col("retweets") / F.col("posts"),
-            "amplified_share": F.try_divide(F.col("amplified"), F.col("retweets")),
-        })
-        .withColumn("shares_pass", F.coalesce(
-            (F.col("retweet_share") >= MIN_RETWEET_SHARE)
-            & (F.col("amplified_share") >= MIN_AMPLIFIED_SHARE), F.lit(False)))
-        # the quadratic count only where the cheap tests pass
-        .withColumn("inversions", F.when(F.col("shares_pass"), inversions(F.col("times"))))
-        .withColumn("is_bot", F.coalesce(F.col("inversions") >= MIN_INVERSIONS, F.lit(False)))
-    )
+    return [F.count("*").alias("posts"), F.count_if(is_retweet).alias("retweets"),
+            F.count_if(is_retweet & is_amplified()).alias("amplified")]
+
+
+def _tested(shares: DataFrame) -> DataFrame:
+    """Whether the shares of retweets and of amplified ones are a bot's."""
+    return shares.withColumns({
+        "retweet_share": F.col("retweets") / F.col("posts"),
+        "amplified_share": F.try_divide(F.col("amplified"), F.col("retweets")),
+    }).withColumn("shares_pass", F.coalesce(
+        (F.col("retweet_share") >= MIN_RETWEET_SHARE) & (F.col("amplified_share") >= MIN_AMPLIFIED_SHARE), F.lit(False)))
 
 
-def retweet_bots(posts: DataFrame, limit: int | None = TIMELINE_LENGTH) -> DataFrame:
+_BOT_COLUMNS = ["user_id", "posts", "retweets", "amplified", "retweet_share", "amplified_share", "inversions"]
+
+
+def retweet_bots(posts: DataFrame, limit: int | None = None) -> DataFrame:
     """Accounts that mostly retweet, mostly amplified posts, in an unnatural order.
 
-    The test was made for what the service shows of an account, its newest 200 posts; ``limit=None`` looks
-    at all.
+    The test was made for what the service shows of an account, its newest 200 posts: ``limit`` looks only at so many.
+    Without it whole timelines are tested. The order is counted only where the cheap tests pass.
     """
-    return _score(posts, False, limit).where("is_bot").select(
-        "user_id", "posts", "retweets", "amplified", "retweet_share", "amplified_share", "inversions")
+    if limit is None:
+        passing = _tested(posts.where("user_id is not null").groupBy("user_id").agg(*_shares())).where("shares_pass")
+        orders = timeline_inversions(posts.join(passing.select("user_id"), "user_id", "left_semi"))
+        scored = passing.join(orders, "user_id")
+    else:
+        scored = _tested(timelines(posts, limit).groupBy("user_id").agg(*_shares(), _original_times().alias("times")))
+        scored = scored.withColumn("inversions", F.when(F.col("shares_pass"), inversions(F.col("times"))).cast("bigint"))
+    return scored.where(F.col("inversions") >= MIN_INVERSIONS).select(*_BOT_COLUMNS)
+
+
+def followed_statuses(posts: DataFrame, compat: bool = False, limit: int | None = None) -> DataFrame:
+    """Distinct ``user_id, status_id`` of the amplified retweets in every account's timeline."""
+    return (
+        timelines(posts, limit).where(is_worth_following(compat))
+        .select("user_id", F.col("retweeted_status_id").alias("status_id")).distinct()
+    )
 
 
 @dataclass(frozen=True)
@@ -134,17 +147,16 @@ class AmplificationGraph:
 
 
 def amplification_graph(posts: DataFrame, seed: int, max_hops: int | None = None,
-                        compat: bool = False) -> AmplificationGraph:
+                        compat: bool = False, limit: int | None = None) -> AmplificationGraph:
     """Walk from an account over its amplified retweets to the bots that share them.
 
     The bot test runs once for all accounts. A hop then joins tables of distinct pairs, and
-    expands a status only the first time it is met, so no pair is joined twice.
+    expands a status only the first time it is met, so no pair is joined twice. ``limit`` looks only at
+    each account's newest posts.
     """
     spark = posts.sparkSession
-    scored = materialize(
-        _score(posts, compat).where("is_bot or size(statuses) > 0")
-        .select("user_id", "is_bot", "statuses"), "scored")
-    bots = scored.where("is_bot").select("user_id")
+    followed = materialize(followed_statuses(posts, compat, limit), "followed")
+    bots = materialize(retweet_bots(posts, limit).select("user_id"), "bots")
     shared = materialize(
         posts.where("retweeted_status_id is not null")
         .select("user_id", F.col("retweeted_status_id").alias("status_id"))
@@ -157,8 +169,7 @@ def amplification_graph(posts: DataFrame, seed: int, max_hops: int | None = None
     hop = 0
     while max_hops is None or hop < max_hops:
         fresh = statuses.add(
-            scored.join(frontier, "user_id", "left_semi")
-            .select(F.explode("statuses").alias("status_id")).distinct()
+            followed.join(frontier, "user_id", "left_semi").select("status_id").distinct()
             .join(statuses.all(), "status_id", "left_anti"))
         found = edges.add(shared.join(fresh, "status_id", "left_semi"))
         frontier = reached.add(

@@ -60,7 +60,7 @@ def connections(edges: DataFrame, accounts: DataFrame,
 
 def capped(found: DataFrame, max_connections: int) -> DataFrame:
     """The first ``max_connections`` connections per account and direction."""
-    return first_per_key(found, ["id", "direction"], ["other"], max_connections)
+    return first_per_key(found, ["id", "direction"], "other", max_connections)
 
 
 def directed(found: DataFrame) -> DataFrame:

@@ -12,83 +12,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from acctsignal.functions import count_not_above
+from acctsignal.session import materialize
 
-# Rows one task may sort; only keys with more rows are cut.
-MAX_ROWS_PER_SLICE = 20_000_000
-# Sampled rows per slice, from which the cuts of a long key are taken.
-SAMPLES_PER_SLICE = 64
 # Parts of a key that are cut on their own before the key is.
 SALTS = 32
-# Copies of a row that one task writes at a time.
-COPIES_PER_STEP = 1_000_000
+# Stretches that a key's values are counted in to find the k-th smallest.
+BUCKETS = 65_536
+# Width of the slices of a timeline: a week, so that ten years of one account are over 500 slices.
+SLICE_SECONDS = 604_800
+# The slice of rows without a time, which come first.
+NO_TIME = -(1 << 62)
 
 
-def match_small(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Join with a broadcast table; NULL keys match NULL keys."""
-    renamed = F.broadcast(small.withColumnsRenamed({k: f"_small_{k}" for k in keys}))
-    on = [df[k].eqNullSafe(renamed[f"_small_{k}"]) for k in keys]
-    return df.join(renamed, on, how).drop(*[f"_small_{k}" for k in keys])
-
-
-def long_keys(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_ROWS_PER_SLICE) -> DataFrame | None:
-    """The keys with more than ``max_rows`` rows, at most rows/max_rows; None if there are none.
-
-    Runs one count per key, which reads the key columns only.
-    """
-    found = df.groupBy(*keys).count().where(F.col("count") > max_rows).select(*keys).collect()
-    return df.sparkSession.createDataFrame(found, df.select(*keys).schema) if found else None
-
-
-def cut_long_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                  max_rows: int = MAX_ROWS_PER_SLICE) -> DataFrame | None:
-    """Rows with a ``slice`` number, 0 for ordinary keys and rising along ``order`` in long
-    ones (``is_long``); None if no key has more than ``max_rows`` rows.
-
-    All long keys together get about rows/max_rows cuts, which bounds what is fetched here
-    and broadcast later. Rows that are equal in all of ``order`` stay in one slice.
-    """
-    spark = df.sparkSession
-    long = long_keys(df, keys, max_rows)
-    if long is None:
-        return None
-
-    position = F.struct(*order)
-    one_in = max(1, max_rows // SAMPLES_PER_SLICE)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("at"))
-    cuts = (
-        match_small(df, long, keys, "left_semi")
-        .where(F.pmod(F.xxhash64(*order), F.lit(one_in)) == 0)
-        .select(*keys, position.alias("at"))
-        .distinct()
-        .withColumn("rank", rank)
-        .where(F.col("rank") % SAMPLES_PER_SLICE == 0)
-        .select(*keys, "at")
-    )
-    found = spark.createDataFrame(cuts.collect(), cuts.schema)
-    listed = found.groupBy(*keys).agg(F.array_sort(F.collect_list("at")).alias("cuts"))
-    none = F.array().cast(listed.schema["cuts"].dataType)
-    table = match_small(long, listed, keys, "left").withColumn("cuts", F.coalesce("cuts", none))
-    most = table.agg(F.max(F.size("cuts"))).first()[0]
-    return (
-        match_small(df, table, keys, "left")
-        .withColumn("is_long", F.col("cuts").isNotNull())
-        .withColumn(
-            "slice",
-            F.when(F.col("is_long"), count_not_above(F.col("cuts"), position, most)).otherwise(0),
-        )
-        .drop("cuts")
-    )
+def time_slice(seconds: Column, width: int = SLICE_SECONDS) -> Column:
+    """A number that rises with time, never NULL: the same for times within one stretch of ``width``."""
+    return F.coalesce(F.floor(seconds / F.lit(width)).cast("bigint"), F.lit(NO_TIME))
 
 
 def add_neighbour(df: DataFrame, keys: Sequence[str], slice_col: str, order: Sequence[str],
-                  value: Column, name: str, following: bool = False,
-                  border_rows: DataFrame | None = None) -> DataFrame:
+                  value: Column, name: str, following: bool = False) -> DataFrame:
     """Add the ``value`` of the previous (or following) row in ``order`` within ``keys``.
 
-    ``slice_col`` must not fall along ``order``. ``border_rows`` are the rows of keys with
-    several slices, if the caller knows them to be few slices: their borders are broadcast.
-    The result is NULL where there is no such row; pass a struct to tell that from a NULL.
+    ``slice_col`` must not fall along ``order``. What crosses the border of a slice comes from a table of the last (first)
+    row of each slice that has rows. The result is NULL where there is no such row; pass a struct to tell that
+    from a NULL. Keys must not be NULL.
     """
     in_slice = Window.partitionBy(*keys, slice_col).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(slice_col)
@@ -96,62 +43,28 @@ def add_neighbour(df: DataFrame, keys: Sequence[str], slice_col: str, order: Seq
     shift = F.lead if following else F.lag
     border = (F.min_by if following else F.max_by)(boxed, position)
     carried = (
-        (df if border_rows is None else border_rows)
-        .groupBy(*keys, slice_col)
+        df.groupBy(*keys, slice_col)
         .agg(border.alias("_border"))
         .select(*keys, slice_col, shift("_border").over(across).alias("_carried"))
     )
-    linked = df.withColumn("_near", shift(boxed).over(in_slice))
-    if border_rows is None:
-        linked = linked.join(carried, [*keys, slice_col], "left")
-    else:
-        linked = match_small(linked, carried, [*keys, slice_col], "left")
     return (
-        linked.withColumn(name, F.coalesce("_near", "_carried")["v"])
+        df.withColumn("_near", shift(boxed).over(in_slice))
+        .join(carried, [*keys, slice_col], "left")
+        .withColumn(name, F.coalesce("_near", "_carried")["v"])
         .drop("_near", "_carried")
     )
 
 
-def repeat_rows(df: DataFrame, times: str) -> DataFrame:
-    """Every row as often as its column ``times`` says; many copies are made by many tasks."""
-    steps = F.sequence(F.lit(0), F.expr(f"({times} - 1) div {COPIES_PER_STEP}"))
-    size = F.least(F.lit(COPIES_PER_STEP), F.col(times) - F.col("_step") * COPIES_PER_STEP)
-    return (
-        df.where(F.col(times) > 0)
-        .withColumn("_step", F.explode(steps))
-        .withColumn("_size", size)
-        .repartition(*df.columns, "_step")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_size"))))
-        .drop("_step", "_size", "_copy", times)
-    )
-
-
 def add_previous(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], name: str,
-                 max_rows: int = MAX_ROWS_PER_SLICE) -> DataFrame:
+                 width: int = SLICE_SECONDS) -> DataFrame:
     """Add the struct ``name`` of the previous row's ``columns`` per ``key``; NULL in first rows.
 
-    A plain ``lag``, but for long keys. Their equal rows are counted first, since no cut can
-    part them: each copy but one follows a row like itself.
+    A ``lag`` per key and slice of ``width`` of the time ``order[0]``, and for each slice's first row the last row of
+    the slice before that has any. Rows without a time come first; rows without a key are one key's.
     """
-    window = Window.partitionBy(key).orderBy(*order)
-    before = F.struct(*[F.lag(c).over(window).alias(c) for c in columns])
-    before = F.when(F.lag(F.lit(True)).over(window), before)
-    long = long_keys(df, [key], max_rows)
-    if long is None:
-        return df.withColumn(name, before)
-
-    usual = match_small(df, long, [key], "left_anti").withColumn(name, before)
-    counted = match_small(df, long, [key], "left_semi").groupBy(*df.columns).agg(
-        (F.count("*") - 1).alias("_copies"))
-    sliced = cut_long_keys(counted, [key], order, max_rows)
-    if sliced is None:
-        linked = counted.withColumn(name, before)
-    else:
-        linked = add_neighbour(
-            sliced, [key], "slice", order, F.struct(*columns), name, border_rows=sliced.where("is_long")
-        ).drop("slice", "is_long")
-    copies = repeat_rows(counted.withColumn(name, F.struct(*columns)), "_copies")
-    return usual.unionByName(linked.drop("_copies")).unionByName(copies)
+    # a struct is never NULL and equals itself also around a NULL
+    keyed = df.withColumns({"_key": F.struct(F.col(key)), "_slice": time_slice(F.col(order[0]), width)})
+    return add_neighbour(keyed, ["_key"], "_slice", order, F.struct(*columns), name).drop("_key", "_slice")
 
 
 def add_running_sum(df: DataFrame, keys: Sequence[str], slice_col: str, order: Sequence[str],
@@ -173,30 +86,36 @@ def add_running_sum(df: DataFrame, keys: Sequence[str], slice_col: str, order: S
     )
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int,
-                  max_rows: int = MAX_ROWS_PER_SLICE) -> DataFrame:
-    """The first ``k`` rows of every key, ascending by the columns ``order``.
+def first_per_key(df: DataFrame, keys: Sequence[str], value: str, k: int) -> DataFrame:
+    """The rows of every key's ``k`` smallest ``value``s, whole numbers >= 0 that are different within a key.
 
-    In a long key only the slices that begin before rank ``k`` are sorted.
+    Nothing is sorted. A key with more than ``k`` rows has its values counted in equal stretches; the stretch that
+    holds the k-th smallest is cut again until it is one number, at most four times. That number is the key's limit. ``df`` is
+    read in every step, so it should be a stored table. The steps' tables have a row per key with more than ``k`` rows.
     """
-    sliced = cut_long_keys(df, keys, order, max_rows)
-    if sliced is None:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
-    across = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = (
-        sliced.where("is_long").groupBy(*keys, "slice").count()
-        .select(*keys, "slice", F.coalesce(F.sum("count").over(across), F.lit(0)).alias("_earlier"))
-    )
-    rank = F.row_number().over(Window.partitionBy(*keys, "slice").orderBy(*order))
-    return (
-        match_small(sliced, earlier, [*keys, "slice"], "left")
-        .withColumn("_earlier", F.coalesce("_earlier", F.lit(0)))
-        .where(F.col("_earlier") < k)
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") + F.col("_earlier") <= k)
-        .drop("_rank", "_earlier", "slice", "is_long")
-    )
+    state = materialize(
+        df.groupBy(*keys).agg(F.count("*").alias("_rows"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+        .where(F.col("_rows") > k)
+        .select(*keys, "_low", F.expr("_high - _low + 1").alias("_span"), F.lit(k).cast("bigint").alias("_left")),
+        "long-keys")
+    if state.isEmpty():
+        return df
+    narrow = df.select(*keys, F.col(value).alias("_value"))
+    along = Window.partitionBy(*keys).orderBy("_bucket")
+    while not state.where("_span > 1").isEmpty():
+        wide = state.withColumn("_width", F.expr(f"(_span - 1) div {BUCKETS} + 1"))
+        counts = (
+            narrow.join(wide, list(keys)).where("_value >= _low and _value - _low < _span")
+            .groupBy(*keys, "_low", "_width", "_left", F.expr("(_value - _low) div _width").alias("_bucket")).count()
+            .withColumn("_upto", F.sum("count").over(along))
+        )
+        state = materialize(
+            counts.where("_upto >= _left and _upto - count < _left")
+            .select(*keys, F.expr("_low + _bucket * _width").alias("_low"), F.col("_width").alias("_span"),
+                    F.expr("_left - _upto + count").alias("_left")), "long-keys")
+    limits = state.select(*keys, F.col("_low").alias("_limit"))
+    return df.join(limits, list(keys), "left").where(
+        F.col("_limit").isNull() | (F.col(value) <= F.col("_limit"))).select(df.columns)
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, salts: int = 1) -> DataFrame:

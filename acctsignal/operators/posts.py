@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from acctsignal.functions import great_circle_miles, post_time, rate
 from acctsignal.operators.account import check_mode
 from acctsignal.operators.features import Feature, renamed, with_features
-from acctsignal.operators.ordered import MAX_ROWS_PER_SLICE, add_previous
+from acctsignal.operators.ordered import SLICE_SECONDS, add_previous
 
 ENTITIES = ("urls", "hashtags", "users_mentioned")
 
@@ -102,14 +102,14 @@ def reply_times_from_parents(posts: DataFrame) -> DataFrame:
 POST_ORDER = ["tweet_ts_long", "tweet_id"]
 
 
-def sequence_features(posts: DataFrame, compat: bool = False,
-                      max_rows: int = MAX_ROWS_PER_SLICE) -> DataFrame:
+def sequence_features(posts: DataFrame, compat: bool = False, width: int = SLICE_SECONDS) -> DataFrame:
     """Time and distance since the account's previous post.
 
-    The first post has none; ``compat`` gives it the epoch as its predecessor's time.
+    The first post has none; ``compat`` gives it the epoch as its predecessor's time. A timeline is put in order in
+    slices of ``width`` seconds.
     """
     linked = add_previous(posts, "user_id", POST_ORDER, ["tweet_ts_long", "latitude", "longitude"],
-                          "_before", max_rows)
+                          "_before", width)
     previous = F.col("_before.tweet_ts_long")
     if compat:
         previous = F.when(F.col("_before").isNull(), F.lit(0)).otherwise(previous)
@@ -214,8 +214,8 @@ def duplicate_texts(posts: DataFrame) -> DataFrame:
     )
 
 
-def mean_distance(posts: DataFrame, max_rows: int = MAX_ROWS_PER_SLICE) -> DataFrame:
+def mean_distance(posts: DataFrame, width: int = SLICE_SECONDS) -> DataFrame:
     """Mean miles between neighbouring geotagged posts."""
     narrow = posts.select("user_id", *POST_ORDER, "latitude", "longitude")
-    return sequence_features(narrow, max_rows=max_rows).groupBy("user_id").agg(
+    return sequence_features(narrow, width=width).groupBy("user_id").agg(
         *average("dist_from_previous_tweet"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from acctsignal.operators import posts as P
 from acctsignal.operators.account import check_mode
-from acctsignal.operators.ordered import MAX_ROWS_PER_SLICE
+from acctsignal.operators.ordered import SLICE_SECONDS
 
 # Columns only one mode fills; the other has NULLs.
 ONLY_TRAINING = {"avg_time_from_previous_tweet": "double"}
@@ -21,7 +21,7 @@ ONLY_UNKNOWN = {
 
 
 def post_aggregates(posts: DataFrame, mode: str = "unknown", compat: bool = False,
-                    approx: bool = False, max_rows: int = MAX_ROWS_PER_SLICE) -> list[DataFrame]:
+                    approx: bool = False, width: int = SLICE_SECONDS) -> list[DataFrame]:
     """Tables by ``user_id`` that together hold the post features.
 
     Whatever is a function of single posts is in one aggregate. The rest has steps of its
@@ -50,20 +50,20 @@ def post_aggregates(posts: DataFrame, mode: str = "unknown", compat: bool = Fals
         tables = [posts.groupBy("user_id").agg(*wide), posts.groupBy("user_id").agg(*counts)]
     tables += [P.hours_tweeted(posts), P.duplicate_texts(posts)]
     if unknown:
-        tables.append(P.mean_distance(posts, max_rows))
+        tables.append(P.mean_distance(posts, width))
     return tables
 
 
 def assemble(accounts: DataFrame, posts: DataFrame, mode: str = "unknown", compat: bool = False,
              approx: bool = False, extra: list[Callable[[DataFrame], DataFrame]] | None = None,
-             max_rows: int = MAX_ROWS_PER_SLICE) -> DataFrame:
+             width: int = SLICE_SECONDS) -> DataFrame:
     """Left-join the account features with every post aggregate.
 
     ``extra`` are functions from the post table to a table by ``user_id``. Accounts without
     posts keep NULLs; an account without retweets has no distinct counts of them.
     """
     table = accounts
-    for part in post_aggregates(posts, mode, compat, approx, max_rows):
+    for part in post_aggregates(posts, mode, compat, approx, width):
         table = table.join(part, "user_id", "left")
     for function in extra or []:
         table = table.join(function(posts), "user_id", "left")

@@ -73,10 +73,3 @@ def test_inversions(spark):
         [rng.randrange(20) for _ in range(rng.randrange(60))] for _ in range(20)]
     expected = [sum(a > b for a, b in itertools.combinations(v, 2)) for v in lists]
     assert values(spark, "array<int>", lists, X.inversions) == expected
-
-
-def test_binary_search(spark):
-    bounds = [[], [1], [1, 1, 4], list(range(0, 40, 3))]
-    df = spark.createDataFrame([(b, x) for b in bounds for x in range(-1, 45)], "b array<int>, x int")
-    for row in df.select("b", "x", X.count_not_above(F.col("b"), F.col("x"), 14).alias("n")).collect():
-        assert row.n == sum(v <= row.x for v in row.b)

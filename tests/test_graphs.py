@@ -120,8 +120,17 @@ def test_bot_test(spark):
 def test_only_the_newest_200_count(spark):
     rows = [*own_posts(1, 0, 500), *[(u, i + 9000, t + 90_000, s, r, a, f, x)
                                       for u, i, t, s, r, a, f, x in bot_posts(1, 0, [100], count=200)]]
-    row = M.retweet_bots(spark.createDataFrame(rows, SCHEMA)).first()
+    posts = spark.createDataFrame(rows, SCHEMA)
+    row = M.retweet_bots(posts, limit=200).first()
     assert (row.posts, row.retweets) == (200, 200)
+    assert M.retweet_bots(posts).isEmpty()  # the whole timeline is no bot's
+
+
+@pytest.mark.parametrize("limit", [None, 200])
+def test_bot_test_of_whole_and_cut_timelines(spark, limit):
+    rows = [*bot_posts(1, 0, [100]), *own_posts(2, 5000, 300), *bot_posts(3, 4000, [100], count=14)]
+    row, = M.retweet_bots(spark.createDataFrame(rows, SCHEMA), limit).collect()
+    assert (row.user_id, row.posts, row.retweets, row.amplified, row.inversions) == (1, 40, 40, 40, 780)
 
 
 @pytest.fixture(scope="module")
