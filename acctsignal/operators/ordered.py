@@ -118,12 +118,11 @@ def first_per_key(df: DataFrame, keys: Sequence[str], value: str, k: int) -> Dat
         F.col("_limit").isNull() | (F.col(value) <= F.col("_limit"))).select(df.columns)
 
 
-def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, salts: int = 1) -> DataFrame:
+def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, salts: int = SALTS) -> DataFrame:
     """The last ``k`` rows of every key along ``order``, NULL order values counting as oldest.
 
-    For small ``k`` Spark cuts each input partition before the shuffle, so a task sorts at most ``k`` rows
-    of each partition. Where a key is in very many partitions, give ``salts``: rows are then cut
-    twice, per (key, salt) and then per key, at the price of a second shuffle of what is left.
+    For small ``k`` Spark cuts each input partition before the shuffle. Rows are cut per (key, salt) and then per key, so
+    that a key in very many partitions is not one task's; ``salts=1`` saves the second shuffle where no key is.
     """
     newest_first = [F.col(c).desc_nulls_last() for c in order]
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))

@@ -133,8 +133,11 @@ def test_core_plans_stay_in_the_jvm(spark, sf_dir, name):
 
 
 @pytest.mark.parametrize("name, exchanges", [
-    ("mean_gaps", 1), ("entity_features", 1), ("tweet_distance", 1), ("last_timeline", 1), ("retweet_bots", 1),
-    ("inversions", 1), ("stratified_ids", 0), ("account_flags", 0), ("hours_tweeted", 2),
+    ("mean_gaps", 1), ("entity_features", 1),
+    # posts once; the last rows of slices, and these per account
+    ("tweet_distance", 3),
+    # per account and salt, then per account
+    ("last_timeline", 2), ("retweet_bots", 2), ("inversions", 2), ("stratified_ids", 0), ("account_flags", 0), ("hours_tweeted", 2),
 ])
 def test_shuffles(spark, sf_dir, name, exchanges):
     assert plan(E.queries()[name](spark, sf_dir)).count("Exchange hashpartitioning") == exchanges
@@ -142,7 +145,7 @@ def test_shuffles(spark, sf_dir, name, exchanges):
 
 def test_timelines_are_cut_before_the_shuffle(spark, sf_dir):
     text = plan(E.queries()["retweet_bots"](spark, sf_dir))
-    assert text.count("WindowGroupLimit") == 2
+    assert text.count("WindowGroupLimit") == 4
 
 
 def test_only_read_columns_are_scanned(spark, sf_dir):

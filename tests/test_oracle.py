@@ -47,7 +47,7 @@ def test_same_rows(spark, db, sf_dir, name):
 
 def test_every_query_is_checked_or_known_not_to_be():
     own = {name for name in E.queries() if not re.match(r"op\d+_|pipeline$", name)}
-    assert own - set(E.oracle_sql()) == {"smote", "cv_benchmark"}
+    assert own - set(E.oracle_sql()) == {"cv_benchmark"}
 
 
 def test_entry(spark):
