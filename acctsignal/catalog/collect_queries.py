@@ -277,16 +277,20 @@ def collection_progress(spark, sf_dir):
 @query(f"""{oracle_cte('accounts', 'tweets')}, {_STREAMED}, pointed as (
   select user_id, in_reply_to_user_id as id from messages
   union all select user_id, k % 50 from messages where num_users_mentioned > 0)
-select id from (select user_id as id from messages
-  union select p.id from pointed p join accounts a on a.id = p.id where p.id <> p.user_id)""")
+select distinct 1000000 + user_id as id, 'u' || user_id as screen_name, 'en' as language from messages
+union select a.id, a.screen_name, a.lang from pointed p join accounts a on a.id = p.id where p.id <> p.user_id""")
 def stream_accounts(spark, sf_dir):
-    """Authors and mentioned accounts of a stream of files, each stored once."""
+    """Authors and mentioned accounts of a stream of files, each stored once.
+
+    Authors' ids are moved away from those that are mentioned, so every mentioned account comes from the lookup.
+    """
     store = C.AccountStore(spark, new_shared_path(spark, "store"))
     posts = C.read_post_stream(spark, _message_files(spark, sf_dir), files_per_batch=2)
+    moved = F.col("user").withField("id", F.col("user.id") + 1_000_000)
     known = view(spark, sf_dir, "accounts").select(*shaped(schemas.account(), {
         c: F.col(c) for c in ("id", "screen_name", "lang", "followers_count", "statuses_count")}))
-    C.collect_accounts(posts, store, new_shared_path(spark, "checkpoint"), known).awaitTermination()
-    return store.work_list().select("id")
+    C.collect_accounts(posts.withColumn("user", moved), store, new_shared_path(spark, "checkpoint"), known).awaitTermination()
+    return store.work_list().select("id", "screen_name", "language")
 
 
 @query(f"""{TWEETS}, {_STREAMED}, pointed as (

@@ -9,7 +9,7 @@ from acctsignal.operators import amplification as M
 from acctsignal.operators import followers as R
 from acctsignal.operators import graph as G
 from acctsignal.operators.ingest import TIMELINE_LENGTH
-from acctsignal.session import materialize
+from acctsignal.session import materialize, new_shared_path
 
 TWEETS = oracle_cte("tweets")
 EDGES = oracle_cte("edges")
@@ -274,7 +274,31 @@ _EDGES_RECURSIVE = EDGES.replace("with ", "with recursive ", 1)
 
 @query(f"{_EDGES_RECURSIVE}, {_ego_sql(25000, 0)} select id, distance from nodes")
 def ego_network(spark, sf_dir):
-    return G.ego_network(view(spark, sf_dir, "edges"), _ROOT, degree=0).nodes
+    return G.ego_network(view(spark, sf_dir, "edges"), _ROOT, degree=0, max_connections=G.MAX_CONNECTIONS).nodes
+
+
+_ALL = 1 << 40
+_WALKED = """select id as a, null::bigint as b, distance from nodes
+union all select source_id, target_id, null from met"""
+_INNER = """where source_id in (select id from nodes where distance <= 1)
+  and target_id in (select id from nodes where distance <= 1)"""
+
+
+def _walked(network):
+    """Nodes and edges in one table."""
+    return network.nodes.selectExpr("id as a", "cast(null as bigint) as b", "distance").unionByName(
+        network.edges.selectExpr("source_id as a", "target_id as b", "cast(null as int) as distance"))
+
+
+@query(f"{_EDGES_RECURSIVE}, {_ego_sql(_ALL, 1)} {_WALKED}")
+def ego_network_degree_1(spark, sf_dir):
+    """All connections, no cap."""
+    return _walked(G.ego_network(view(spark, sf_dir, "edges"), _ROOT, degree=1))
+
+
+@query(f"{_EDGES_RECURSIVE}, {_ego_sql(_ALL, 2)} {_WALKED}")
+def ego_network_degree_2(spark, sf_dir):
+    return _walked(G.ego_network(view(spark, sf_dir, "edges"), _ROOT, degree=2))
 
 
 @query(f"{_EDGES_RECURSIVE}, {_ego_sql(_CAP)} select source_id, target_id from met")
@@ -282,12 +306,19 @@ def ego_network_capped(spark, sf_dir):
     return G.ego_network(view(spark, sf_dir, "edges"), _ROOT, _DEGREE, max_connections=_CAP).edges
 
 
-@query(f"""{_EDGES_RECURSIVE}, {_ego_sql(_CAP)} select source_id, target_id from met
-where source_id in (select id from nodes where distance <= 1)
-  and target_id in (select id from nodes where distance <= 1)""")
+@query(f"{_EDGES_RECURSIVE}, {_ego_sql(_ALL, 1)} select source_id, target_id from met {_INNER}")
 def root_connections(spark, sf_dir):
-    return G.ego_network(view(spark, sf_dir, "edges"), _ROOT, _DEGREE, max_connections=_CAP,
-                         root_only=True).edges
+    return G.ego_network(view(spark, sf_dir, "edges"), _ROOT, 1, root_only=True).edges
+
+
+@query(f"{_EDGES_RECURSIVE}, {_ego_sql(_ALL, 2)} select source_id, target_id from met {_INNER}")
+def root_connections_degree_2(spark, sf_dir):
+    return G.ego_network(view(spark, sf_dir, "edges"), _ROOT, 2, root_only=True).edges
+
+
+@query(f"{_EDGES_RECURSIVE}, {_ego_sql(_CAP)} select source_id, target_id from met {_INNER}")
+def root_connections_capped(spark, sf_dir):
+    return G.ego_network(view(spark, sf_dir, "edges"), _ROOT, _DEGREE, max_connections=_CAP, root_only=True).edges
 
 
 @query(f"""{EDGES} select id, direction, other from (
@@ -303,22 +334,38 @@ def capped_connections(spark, sf_dir):
 _NAMED = oracle_cte("accounts", "edges")
 
 
+_PROFILE = ["id", "screen_name", "lang", "followers_count", "friends_count", "favourites_count", "statuses_count",
+            "listed_count", "protected", "verified", "age_days"]
+
+
 @query(f"""{_NAMED},
-  capped as (select id, direction, other from (
-    select *, row_number() over (partition by id, direction order by other) as r from (
-      select source_id as id, 'friend' as direction, target_id as other from edges
-      union all select target_id, 'follower', source_id from edges)) where r <= {_CAP}),
-  named as (select c.*, a.screen_name as other_name from capped c join accounts a on a.id = c.other)
-select a.id, a.screen_name,
-  coalesce(string_agg(other_name, ',' order by other) filter (where direction = 'friend'), '') as friend_names,
-  coalesce(string_agg(other_name, ',' order by other) filter (where direction = 'follower'), '') as follower_names
-from accounts a left join named n on n.id = a.id group by a.id, a.screen_name""")
+  ends as (
+    select source_id as id, 'friend' as direction, target_id as other from edges
+    union all select target_id, 'follower', source_id from edges)
+select e.id as account, direction, {', '.join(f'a.{c} as {c}' for c in _PROFILE)}
+from ends e join accounts a on a.id = e.other join accounts o on o.id = e.id
+union all select id, 'none', {', '.join(_PROFILE)} from accounts""")
 def adjacency_records(spark, sf_dir):
-    accounts = view(spark, sf_dir, "accounts").select("id", "screen_name", "lang")
-    records = G.adjacency_records(view(spark, sf_dir, "edges"), accounts, accounts.select("id"), _CAP)
-    return records.select("id", "screen_name", *[
-        F.array_join(F.transform(f"{d}s", lambda a: a["screen_name"]), ",").alias(f"{d}_names")
-        for d in ("friend", "follower")])
+    """Records of all accounts, in several chunks, written as gzip JSON, read back and put together; and their heads."""
+    accounts = view(spark, sf_dir, "accounts").select(*_PROFILE)
+    path = new_shared_path(spark, "adjacency-records")
+    edges = materialize(view(spark, sf_dir, "edges"), "edges")
+    G.write_records(G.adjacency_records(edges, accounts, accounts.select("id"), per_record=20), path)
+    records = G.read_records(spark, path, accounts)
+    rows = G.joined_records(records).select(F.col("id").alias("account"), "direction", "profile.*")
+    heads = records.where("chunk = 0").select(F.col("id").alias("account"), F.lit("none").alias("direction"), *_PROFILE)
+    return rows.unionByName(heads)
+
+
+@query(f"""{EDGES}, ends as (
+    select source_id as id, 'friend' as direction, target_id as other from edges
+    union all select target_id, 'follower', source_id from edges),
+  ranked as (select *, row_number() over (partition by id % 3, direction order by id * 1000 + other) as r from ends)
+select (id % 3)::bigint as id, direction, id * 1000 + other as other from ranked where r <= 25000""")
+def capped_connections_of_hubs(spark, sf_dir):
+    """The first 25,000 connections of three accounts that have them all."""
+    ends = G.both_ways(view(spark, sf_dir, "edges")).selectExpr("id % 3 as id", "direction", "id * 1000 + other as other")
+    return G.capped(materialize(ends, "hubs"), G.MAX_CONNECTIONS)
 
 
 def _escaped(text):

@@ -7,15 +7,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from acctsignal.functions import xml_escape
-from acctsignal.operators.hops import HopTable
+from acctsignal.operators.hops import BucketTable, HopTable, bucket_count
 from acctsignal.operators.ordered import first_per_key
+from acctsignal.session import materialize
 
-# Connections read per account and direction.
+# Fixed value: connections that a crawl reads per account and direction.
 MAX_CONNECTIONS = 25_000
+# Connections per direction in one adjacency record.
+PER_RECORD = 25_000
+# Connections of one account that lie together.
+ROWS_PER_CHUNK = 1_000_000
 EXPORT_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
 
 
@@ -42,20 +48,20 @@ def nodes_of(edges: DataFrame, accounts: DataFrame, seen: str = "created_date")
     return first.join(accounts.select("id", "screen_name"), "id")
 
 
-def connections(edges: DataFrame, accounts: DataFrame,
-                max_connections: int | None = MAX_CONNECTIONS) -> DataFrame:
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Every edge from both its ends: ``id, direction, other``."""
+    ends = F.array(*[F.struct(F.col(a).alias("id"), F.lit(d).alias("direction"), F.col(b).alias("other"))
+                     for a, d, b in (("source_id", "friend", "target_id"), ("target_id", "follower", "source_id"))])
+    return edges.select(F.inline(ends))
+
+
+def connections(edges: DataFrame, accounts: DataFrame, max_connections: int | None = None) -> DataFrame:
     """Friends and followers of ``accounts(id)``: ``id, direction, other``.
 
-    At most the first ``max_connections`` per account and direction, by the other's id.
+    Of every account and direction all, or the first ``max_connections`` by the other's id.
     """
-    friends = edges.join(accounts.select(F.col("id").alias("source_id")), "source_id").select(
-        F.col("source_id").alias("id"), F.lit("friend").alias("direction"),
-        F.col("target_id").alias("other"))
-    followers = edges.join(accounts.select(F.col("id").alias("target_id")), "target_id").select(
-        F.col("target_id").alias("id"), F.lit("follower").alias("direction"),
-        F.col("source_id").alias("other"))
-    both = friends.unionByName(followers)
-    return both if max_connections is None else capped(both, max_connections)
+    found = both_ways(edges).join(accounts.select("id"), "id", "left_semi")
+    return found if max_connections is None else capped(materialize(found, "connections"), max_connections)
 
 
 def capped(found: DataFrame, max_connections: int) -> DataFrame:
@@ -79,27 +85,53 @@ class EgoNetwork:
     edges: DataFrame
 
 
-def ego_network(edges: DataFrame, root: int, degree: int = 1,
-                max_connections: int | None = MAX_CONNECTIONS,
+class Adjacency:
+    """Connections of all accounts, stored for walks: a hop over them shuffles only its frontier.
+
+    The table is bucketed by (account, chunk). An account with more than ``rows_per_chunk`` connections has them in
+    several chunks, told by the other's hash, so it is not one bucket's; the accounts with several are few, at
+    most connections / rows_per_chunk.
+    """
+
+    def __init__(self, edges: DataFrame, max_connections: int | None = None, rows_per_chunk: int = ROWS_PER_CHUNK,
+                 buckets: int | None = None):
+        spark = edges.sparkSession
+        found = both_ways(edges)
+        if max_connections is not None:
+            found = capped(materialize(found, "connections"), max_connections)
+        self.hubs = materialize(
+            found.groupBy("id").count().where(F.col("count") > rows_per_chunk)
+            .select("id", F.expr(f"cast((count - 1) div {rows_per_chunk} as int) as last_chunk")), "hubs")
+        chunk = F.pmod(F.xxhash64("other"), F.coalesce("last_chunk", F.lit(0)) + 1).cast("int")
+        chunked = found.join(self.hubs, "id", "left").withColumn("chunk", chunk).drop("last_chunk")
+        self.buckets = buckets or bucket_count(spark, 2 * edges.count())
+        table = BucketTable(spark, "adjacency", ["id", "chunk"], self.buckets)
+        table.add(chunked)
+        self.rows = table.all().drop("hop")
+
+    def of(self, accounts: DataFrame) -> DataFrame:
+        """``id, direction, other`` of ``accounts(id)``."""
+        chunks = F.sequence(F.lit(0), F.coalesce("last_chunk", F.lit(0)))
+        asked = accounts.select("id").join(self.hubs, "id", "left").select("id", F.explode(chunks).alias("chunk"))
+        return self.rows.join(asked, ["id", "chunk"]).select("id", "direction", "other")
+
+
+def ego_network(edges: DataFrame | Adjacency, root: int, degree: int = 1, max_connections: int | None = None,
                 root_only: bool = False) -> EgoNetwork:
     """Accounts and edges met when every account up to ``degree`` hops away is expanded.
 
     Nodes therefore reach distance ``degree + 1``. ``root_only`` keeps the edges among the
-    root and its direct neighbours.
+    root and its direct neighbours. Walks from several roots may share an ``Adjacency`` in place of the edges.
     """
-    spark = edges.sparkSession
-    nodes = HopTable(spark, "ego-nodes", "id bigint")
-    columns = "id bigint, direction string, other bigint"
-    met, uncapped = HopTable(spark, "ego-connections", columns), HopTable(spark, "ego-uncapped", columns)
+    graph = edges if isinstance(edges, Adjacency) else Adjacency(edges, max_connections)
+    spark = graph.rows.sparkSession
+    nodes = BucketTable(spark, "ego_nodes", ["id"], graph.buckets)
+    met = HopTable(spark, "ego-connections", "id bigint, direction string, other bigint")
     frontier = nodes.add(spark.createDataFrame([(root,)], "id bigint"))
-    for _ in range(degree + 1):
-        found = connections(edges, frontier, None)
-        if max_connections is not None:
-            # capping reads its input more than once, the edges are read for a hop only once
-            found = capped(uncapped.add(found), max_connections)
-        found = met.add(found)
+    for hop in range(degree + 1):
+        found = met.add(graph.of(frontier))
         frontier = nodes.add(
-            found.select(F.col("other").alias("id")).distinct().join(nodes.all(), "id", "left_anti"))
+            found.select(F.col("other").alias("id")).distinct().join(nodes.all(), "id", "left_anti"), hop + 1)
         if frontier.isEmpty():
             break
     all_nodes = nodes.all().withColumnRenamed("hop", "distance")
@@ -115,30 +147,60 @@ def ego_network(edges: DataFrame, root: int, degree: int = 1,
     return EgoNetwork(all_nodes, all_edges)
 
 
-def adjacency_records(edges: DataFrame, accounts: DataFrame, crawled: DataFrame,
-                      max_connections: int = MAX_CONNECTIONS) -> DataFrame:
-    """One record per crawled account with its friends and followers as arrays of accounts.
+def adjacency_records(edges: DataFrame, accounts: DataFrame, crawled: DataFrame, max_connections: int | None = None,
+                      per_record: int = PER_RECORD) -> DataFrame:
+    """Records of crawled accounts, each with up to ``per_record`` friends and as many followers, as arrays of accounts.
 
-    The cap on connections also bounds the arrays.
+    An account with more connections has several records, told apart by ``chunk`` (0, 1, …, dealt by the other's hash), so
+    no account's connections are ever in one row. Every account has a record 0. ``joined_records`` gives them as
+    rows again. Connections of unknown accounts are left out.
     """
     profile = F.struct(*[F.col(c) for c in accounts.columns]).alias("profile")
+    found = connections(edges, crawled, max_connections)
+    most = found.groupBy("id", "direction").count().groupBy("id").agg(
+        F.expr(f"(max(count) - 1) div {max(1, per_record // 2)} + 1").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("other"), F.when(F.col("chunks") <= 2, 1).otherwise(F.col("chunks")))
     lists = (
-        connections(edges, crawled, max_connections)
+        found.join(most, "id").select("id", "direction", "other", chunk.alias("chunk"))
         .join(accounts.select(F.col("id").alias("other"), profile), "other")
-        .groupBy("id")
+        .groupBy("id", "chunk")
         .agg(*[
             F.array_sort(F.collect_list(F.when(F.col("direction") == d, F.col("profile")))).alias(f"{d}s")
             for d in ("friend", "follower")
         ])
     )
     none = F.array().cast(lists.schema["friends"].dataType)
+    heads = crawled.select("id").distinct().withColumn("chunk", F.lit(0).cast("bigint"))
     return (
-        accounts.join(crawled.select("id"), "id", "left_semi")
-        .join(lists, "id", "left")
+        accounts.join(lists.join(heads, ["id", "chunk"], "full"), "id")
         .withColumns({c: F.coalesce(c, none) for c in ("friends", "followers")})
     )
 
 
+def write_records(records: DataFrame, path: str) -> None:
+    """Adjacency records as gzip JSON, one per line."""
+    records.write.mode("append").option("compression", "gzip").json(path)
+
+
+def read_records(spark: SparkSession, path: str, accounts: DataFrame) -> DataFrame:
+    """Adjacency records as ``write_records`` wrote them; ``accounts`` has the profiles' columns."""
+    profiles = ArrayType(accounts.schema)
+    schema = StructType([*accounts.schema.fields, StructField("chunk", LongType()),
+                         StructField("friends", profiles), StructField("followers", profiles)])
+    return spark.read.schema(schema).json(path)
+
+
+def joined_records(records: DataFrame) -> DataFrame:
+    """The accounts in the records, one row each: ``id, direction, other`` and the other's ``profile``.
+
+    The rows of a hub come from all its records; nothing is put into one array.
+    """
+    ends = [records.select("id", F.lit(d).alias("direction"), F.explode(f"{d}s").alias("profile"))
+            for d in ("friend", "follower")]
+    both = ends[0].unionByName(ends[1])
+    return both.select("id", "direction", F.col("profile.id").alias("other"), "profile")
+
+
 def _element(tag: str, **attributes: Column) -> Column:
     parts: list[Column] = [F.lit(f"<{tag}")]
     for name, value in attributes.items():

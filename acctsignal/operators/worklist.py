@@ -58,12 +58,12 @@ def mentioned_ids(author: Column, reply_to: Column, mentions: Column) -> Column:
     return F.array_distinct(F.filter(every, lambda i: i.isNotNull() & (i != "") & (i != author)))
 
 
-def mentioned_accounts(posts: DataFrame, source: str = "tweet") -> DataFrame:
-    """One row ``id_str, _tbsource`` per account that a raw post points to."""
+def mentioned_accounts(posts: DataFrame, source: str = "tweet", *more: str) -> DataFrame:
+    """One row ``id_str, _tbsource`` and the columns ``more`` per account that a raw post points to."""
     ids = mentioned_ids(F.col("user.id_str"), F.col("in_reply_to_user_id_str"),
                         F.col("entities.user_mentions.id_str"))
     return posts.where("user is not null").select(
-        F.explode(ids).alias("id_str"), F.lit(source).alias("_tbsource"))
+        F.explode(ids).alias("id_str"), F.lit(source).alias("_tbsource"), *more)
 
 
 def sample_ids(spark: SparkSession, first: int, end: int, percentage: int = 100,

@@ -84,6 +84,54 @@ def test_stream_equals_batch(spark, feed, tmp_path):
     assert store.work_list().count() == batch.count()
 
 
+def test_batches_remember_in_state_not_in_the_store(spark, feed, tmp_path):
+    """A store emptied between two batches is not read: the accounts do not come again. A lost one is an error."""
+    import shutil
+
+    store, checkpoint = C.AccountStore(spark, str(tmp_path / "store")), str(tmp_path / "checkpoint")
+    stream = C.read_post_stream(spark, feed)
+    C.collect_accounts(stream, store, checkpoint, trigger={"once": True}).awaitTermination()
+    first = store.work_list().count()
+    assert first > 0
+    extra = tmp_path / "more"
+    messages_again = spark.read.schema(schemas.post()).json(feed)
+    messages_again.write.json(str(extra))
+    for part in extra.glob("part-*"):
+        shutil.copy(part, f"{feed}/again-{part.name}")
+    C.collect_accounts(stream, store, checkpoint).awaitTermination()
+    assert store.work_list().count() == first
+    shutil.move(store.records, str(tmp_path / "elsewhere"))
+    with pytest.raises(RuntimeError, match="finished batches"):
+        C.collect_accounts(stream, store, checkpoint)
+
+
+def test_first_sighting_is_the_earliest(spark, tmp_path):
+    rows = [(1, "late", 9, 5), (1, "early", 3, 7), (1, "early, smaller post", 3, 6), (2, "only", 1, 1)]
+    schema = "id bigint, record string, at bigint, post bigint"
+    spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    C.append_stream(C.first_sightings(source), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    expected = {1: "early, smaller post", 2: "only"}
+    assert {r.id: r.record for r in spark.read.json(str(tmp_path / "out")).collect()} == expected
+
+
+def test_forgotten_accounts_come_again(spark, tmp_path):
+    schema = "id bigint, record string, at bigint, post bigint"
+    out, folder = str(tmp_path / "out"), str(tmp_path / "in")
+    spark.createDataFrame([(1, "first", 1, 1), (2, "first", 1, 2)], schema).coalesce(1).write.json(folder)
+    stream = C.first_sightings(spark.readStream.schema(schema).json(folder), forget_after=1)
+    query = C.append_stream(stream, out, str(tmp_path / "checkpoint"), trigger={"processingTime": "1 second"})
+    try:
+        query.awaitTermination(20)
+        spark.createDataFrame([(1, "again", 2, 3)], schema).coalesce(1).write.mode("append").json(folder)
+        query.awaitTermination(15)
+    finally:
+        query.stop()
+    assert sorted((r.id, r.record) for r in spark.read.json(out).collect()) == [(1, "again"), (1, "first"), (2, "first")]
+    with pytest.raises(ValueError, match="trigger"):
+        C.collect_accounts(None, C.AccountStore(spark, out), out, forget_after=5)
+
+
 def test_repeated_batch_counts_once(spark, tmp_path):
     store = C.AccountStore(spark, str(tmp_path))
     accounts = spark.createDataFrame([(1,), (1,), (2,)], "id bigint")

@@ -76,14 +76,47 @@ def test_export_escapes_and_keeps_id_spaces_apart(spark):
     assert edge.element == '<edge id="account-1&gt;status-2" source="account-1" target="status-2"/>'
 
 
-def test_adjacency_records(spark, edges, pairs):
-    accounts = spark.createDataFrame([(i, f"n{i}") for i in range(60)], "id bigint, screen_name string")
-    crawled = spark.createDataFrame([(5,), (6,)], "id bigint")
-    rows = {r.id: r for r in G.adjacency_records(edges, accounts, crawled, 3).collect()}
-    assert set(rows) == {5, 6}
-    for account, row in rows.items():
-        assert [f.id for f in row.friends] == sorted(b for a, b in pairs if a == account)[:3]
-        assert [f.id for f in row.followers] == sorted(a for a, b in pairs if b == account)[:3]
+@pytest.mark.parametrize("cap", [3, None])
+@pytest.mark.parametrize("per_record", [2, 1000])
+def test_adjacency_records(spark, edges, pairs, tmp_path, cap, per_record):
+    accounts = spark.createDataFrame([(i, f"n{i}") for i in range(60)] + [(77, "alone")], "id bigint, screen_name string")
+    crawled = spark.createDataFrame([(5,), (6,), (77,), (5,)], "id bigint")
+    G.write_records(G.adjacency_records(edges, accounts, crawled, cap, per_record), str(tmp_path / "records"))
+    records = G.read_records(spark, str(tmp_path / "records"), accounts)
+    assert {r.id: r.screen_name for r in records.where("chunk = 0").collect()} == {5: "n5", 6: "n6", 77: "alone"}
+    assert records.select("id", "chunk").distinct().count() == records.count()
+    got = sorted((r.id, r.direction, r.other, r.profile.screen_name) for r in G.joined_records(records).collect())
+    expected = []
+    for account in (5, 6):
+        expected += [(account, "friend", b, f"n{b}") for b in sorted(b for a, b in pairs if a == account)[:cap]]
+        expected += [(account, "follower", a, f"n{a}") for a in sorted(a for a, b in pairs if b == account)[:cap]]
+    assert got == sorted(expected)
+    if per_record == 2 and not cap:
+        assert records.count() > 4
+
+
+@pytest.mark.parametrize("buckets, chunk", [(1, 1_000_000), (8, 3), (16, 1)])
+def test_walk_over_chunked_hubs(edges, pairs, buckets, chunk):
+    graph = G.Adjacency(edges, rows_per_chunk=chunk, buckets=buckets)
+    for root, degree in ((5, 1), (9, 2)):
+        distance, met = crawl(pairs, root, degree, 1000)
+        network = G.ego_network(graph, root, degree)
+        assert {r.id: r.distance for r in network.nodes.collect()} == distance
+        assert sorted(tuple(r) for r in network.edges.collect()) == sorted(met)
+
+
+def test_a_hop_shuffles_only_its_frontier(spark, edges):
+    graph = G.Adjacency(edges, rows_per_chunk=3, buckets=8)
+    frontier = spark.createDataFrame([(5,), (6,)], "id bigint")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = graph.of(frontier)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    top = plan.index("SortMergeJoin")
+    table = plan[top:].split(":- ", 1)[1].split("+- Sort [id#")[0]
+    assert "Bucketed: true" in plan and "acctsignal_adjacency" in table
+    assert "Exchange" not in table
 
 
 # ---- retweets ----------------------------------------------------------------------------------
