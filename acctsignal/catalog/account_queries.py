@@ -87,14 +87,22 @@ def screen_name_digits(spark, sf_dir):
         "id", *[f.name for f in features])
 
 
-@query(f"""{ACCOUNTS}, {_ENTROPY_SQL}
-select id as user_id, age_days::int as account_age_days, lang, screen_name, followers_count as num_followers,
-  friends_count as num_friends, favourites_count as num_favorites, statuses_count as num_tweets,
-  screen_name_entropy, {_FLAG_SQL}, {_RATE_SQL}, {_DIGIT_SQL}
-from accounts join entropies using (id)""")
+#: All account columns of the feature table, from the tables ``accounts`` and ``entropies``.
+ACCOUNT_SQL = f"""id as user_id, date '{DUMP_DAY}' - age_days::int + interval '12:34:56' as created_at_ts,
+  date '{DUMP_DAY}'::timestamp as dump_ts, age_days::int as account_age_days, lang, screen_name,
+  followers_count as num_followers, friends_count as num_friends, favourites_count as num_favorites,
+  statuses_count as num_tweets, screen_name_entropy, {_FLAG_SQL}, {_RATE_SQL}, {_DIGIT_SQL}"""
+
+
+def all_account_features(spark, sf_dir):
+    """Every account column, times without a zone as the checking database has them."""
+    rows = A.account_features(raw_accounts(spark, sf_dir))
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at_ts", "dump_ts")})
+
+
+@query(f"{ACCOUNTS}, {_ENTROPY_SQL} select {ACCOUNT_SQL} from accounts join entropies using (id)")
 def account_features(spark, sf_dir):
-    rows = A.account_features(raw_accounts(spark, sf_dir)).drop("dump_ts", "created_at_ts")
-    return rounded(rows, "screen_name_entropy", *A.FILLED)
+    return rounded(all_account_features(spark, sf_dir), "screen_name_entropy", *A.FILLED)
 
 
 @query(f"""{ACCOUNTS}, {_ENTROPY_SQL}

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from acctsignal.catalog.account_queries import ACCOUNTS, rounded
+from acctsignal.catalog.account_queries import _ENTROPY_SQL, ACCOUNT_SQL, all_account_features, rounded
 from acctsignal.catalog.registry import query
 from acctsignal.catalog.views import oracle_cte, table, view
 from acctsignal.operators import posts as P
@@ -230,8 +230,9 @@ _COMMON = """total_tweets, num_retweets, perc_retweets, oldest_ts_long, avg_repl
   avg_num_users_mentioned_in_tweets, perc_tweets_has_users_mentioned, avg_distinct_hours_tweeted,
   duplicates, max_daily_duplicates, avg_previous_tweet_ts_long, unique_users_retweeted"""
 
-_JOINS = """from accounts a left join wide w on a.id = w.user_id left join gaps g on a.id = g.user_id
-  left join hours h on a.id = h.user_id left join repeats r on a.id = r.user_id"""
+_JOINS = """from profiles a left join wide w using (user_id) left join gaps g using (user_id)
+  left join hours h using (user_id) left join repeats r using (user_id)"""
+_PROFILES = f"{_ENTROPY_SQL}, profiles as (select {ACCOUNT_SQL} from accounts join entropies using (id))"
 
 ROUNDING = {
     "avg_time_to_retweet": 4, "avg_time_to_reply": 4, "avg_retweet_ts_long": 3,
@@ -245,21 +246,19 @@ def rounded_features(df):
 
 
 def assembled(spark, sf_dir, mode="unknown", **options):
-    accounts = view(spark, sf_dir, "accounts").select(
-        F.col("id").alias("user_id"), "lang", F.col("followers_count").alias("num_followers"))
-    return assemble(accounts, posts_with_columns(spark, sf_dir), mode, **options)
+    return assemble(all_account_features(spark, sf_dir), posts_with_columns(spark, sf_dir), mode, **options)
 
 
-@query(f"""{_BOTH}, {LINKED}, {_AGGREGATES}
-select a.id as user_id, lang, followers_count as num_followers, {_COMMON}, num_languages,
+@query(f"""{_BOTH}, {LINKED}, {_AGGREGATES}, {_PROFILES}
+select a.*, {_COMMON}, num_languages,
   unique_accounts_retweeted, avg_retweet_id_distance, avg_time_to_retweet, avg_dist_from_previous_tweet,
   avg_retweet_ts_long, avg_time_to_reply, null::double as avg_time_from_previous_tweet {_JOINS}""")
 def assembled_features(spark, sf_dir):
     return rounded_features(assembled(spark, sf_dir))
 
 
-@query(f"""{_BOTH}, {LINKED}, {_AGGREGATES}
-select a.id as user_id, lang, followers_count as num_followers, {_COMMON}, avg_time_from_previous_tweet,
+@query(f"""{_BOTH}, {LINKED}, {_AGGREGATES}, {_PROFILES}
+select a.*, {_COMMON}, avg_time_from_previous_tweet,
   null::bigint as num_languages, null::bigint as unique_accounts_retweeted,
   null::double as avg_retweet_id_distance, null::double as avg_time_to_retweet,
   null::double as avg_dist_from_previous_tweet, null::double as avg_retweet_ts_long,
