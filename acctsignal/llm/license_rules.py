@@ -1,11 +1,13 @@
 """Signatures of licences: regular expressions over a text's lower-case words, one space between words.
 
 A rule has a name, a label, keywords of which a text must contain one for the rule to be tried, a priority (a detection
-hides what lies inside it and has no higher priority) and a confidence. Texts without any of ``GATES`` are not scanned.
+hides what lies inside it and has no higher priority) and a confidence. Texts without any rule's keyword are not scanned.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from typing import NamedTuple
 
 
@@ -43,8 +45,8 @@ NAMES = [
     ("lgpl-2", "library general public|lgpl", rf"(?:gnu )?(?:library general public licen[cs]e|lgpl){_V} ?2(?: 0)?", r"lgpl 2 0(?: only| or later)?"),
     ("lgpl-2.1", "lesser general public|lgpl", rf"(?:gnu )?(?:lesser general public licen[cs]e|lgpl){_V} ?2 1", r"lgpl 2 1(?: only| or later)?"),
     ("lgpl-3", "lesser general public|lgpl", rf"(?:gnu )?(?:lesser general public licen[cs]e|lgpl){_V} ?3(?: 0)?", r"lgpl 3 0(?: only| or later)?"),
-    ("agpl-3", "affero general public|agpl", rf"(?:gnu )?(?:affero general public licen[cs]e|agpl){_V} ?3(?: 0)?", r"agpl 3 0(?: only| or later)?"),
-    ("gfdl", "free documentation|gfdl", r"gnu free documentation licen[cs]e(?: version 1 [123])?", r"gfdl 1 [123](?: only| or later)?"),
+    ("agpl-3", "affero general public|affero gpl|agpl", rf"(?:gnu )?(?:affero general public licen[cs]e|affero gpl|agpl){_V} ?3(?: 0)?", r"agpl 3 0(?: only| or later)?"),
+    ("gfdl", "free documentation|gfdl", rf"(?:gnu free documentation licen[cs]e|gfdl)(?:{_V} 1 [123])?", r"gfdl 1 [123](?: only| or later)?"),
     ("mpl-1.1", "mozilla public|mpl", rf"mozilla public licen[cs]e{_V} 1 1", r"mpl 1 1"),
     ("mpl-2", "mozilla public|mpl", rf"mozilla public licen[cs]e{_V} 2(?: 0)?", r"mpl 2 0"),
     ("epl-1", "eclipse public|epl", rf"eclipse public licen[cs]e{_V} 1(?: 0)?", r"epl 1 0"),
@@ -141,9 +143,35 @@ FAMILIES = [
 ]
 
 
-#: A text needs one of these to be scanned.
-GATES = ["licen", "gpl", "cc by", "cc0", "creative", "public domain", "publicdomain", "permission", "redistribution",
-         "rights reserved", "copyright", "apache", "www gnu", "mozilla org", "scripts sil", "unauthori", "no part of"]
+#: How a text names a licence by its short name, {}, and what it then contains.
+SHORT_STATEMENTS = [
+    ("under", r"(?:(?:re)?(?:licen[cs]ed|released|distributed|published|provided|available|shared) )?under (?:the )?{}",
+     ("under {}", "under the {}"), 2, 0.8),
+    ("licensed", r"{} licen[cs]ed", (" {} licen",), 2, 0.8),
+    ("value", r"licen[cs]ed? (?:is |type )?{}(?: or later)?",
+     ("license {}", "licence {}", "licensed {}", "license is {}", "licence is {}", "license type {}"), 2, 0.8),
+]
+
+
+#: Keywords that only count at the start of a word, as they are parts of ordinary words.
+WHOLE_WORDS = {"gnu", "gpl", "lgpl", "agpl", "gfdl", "mpl", "epl", "cddl", "cpl", "eupl", "bsl", "ofl", "odbl", "pddl", "upl",
+               "afl", "osl", "busl", "sspl", "psf", "php", "ncsa"}
+#: Licences whose short name is also a plain word.
+SENTENCE_WORDS = {"unlicense"}
+
+
+def literal(pattern: str) -> str:
+    """The plain text that a pattern begins with."""
+    return re.split(r"[(\[]", pattern, maxsplit=1)[0].rstrip()
+
+
+def gates(table: Iterable[Rule]) -> list[str]:
+    """The fewest strings of which a text must contain one to have any rule's keyword."""
+    found: list[str] = []
+    for keyword in sorted({k for rule in table for k in rule.keywords}, key=lambda k: (len(k), k)):
+        if not any(g in keyword for g in found):
+            found.append(keyword)
+    return found
 
 
 def rules() -> list[Rule]:
@@ -157,7 +185,10 @@ def rules() -> list[Rule]:
         found.append(Rule(f"tag:{label}", label, ("spdx licen",), 4, 1.0, rf"spdx licen[cs]e identifier {short}"))
         found += [Rule(f"{kind}:{label}", label, tuple(keywords.split("|")), priority, confidence,
                        statement.format(f"(?:{name})")) for kind, statement, priority, confidence in STATEMENTS]
-    return found
+        if label not in SENTENCE_WORDS and literal(short):
+            found += [Rule(f"{kind}:{label}", label, tuple(k.format(literal(short)) for k in keys), priority, confidence,
+                           statement.format(short)) for kind, statement, keys, priority, confidence in SHORT_STATEMENTS]
+    return [r._replace(keywords=tuple(f" {k}" if k in WHOLE_WORDS else k for k in r.keywords)) for r in found]
 
 
 #: Highest priority of a rule.

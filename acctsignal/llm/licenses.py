@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acctsignal.llm.batches import unused_name
-from acctsignal.llm.license_rules import GATES, PRIORITIES, Rule, rules
+from acctsignal.llm.license_rules import PRIORITIES, Rule, gates, rules
 
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _MATCH, _END = "\u0001", "\u0002"  # no word holds them
@@ -73,20 +73,19 @@ def _unhidden(found: Column) -> Column:
     return F.aggregate(F.array_sort(found), begin, step)["kept"]
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", table: list[Rule] | None = None,
-                  gates: list[str] = GATES) -> DataFrame:
+def scan_licenses(docs: DataFrame, text: str = "text", table: list[Rule] | None = None) -> DataFrame:
     """``docs`` with a struct ``licenses`` (underscores are added if there is such a column).
 
     ``n_words``; ``found``, all detections, and ``kept``, those that are not hidden, as structs with ``start``
     (number of the first word), ``back`` (minus the last word's number), ``name`` of the rule, ``label``, ``priority`` and
     ``confidence``. Words are runs of letters and digits, and of anything beyond ASCII. Null and empty texts have
-    no words and no detection. Only texts with one of ``gates`` are scanned, and rules are tried only in texts that
-    contain one of their keywords.
+    no words and no detection. Rules are tried only in texts that contain one of their keywords; a few strings, of
+    which every keyword contains one, tell most texts without any.
     """
     table = table or rules()
     given = docs.columns
     words, spans = unused_name(docs, "words"), unused_name(docs, "spans")
-    any_gate = reduce(lambda a, b: a | b, (F.col(words).contains(g) for g in gates))
+    any_gate = reduce(lambda a, b: a | b, (F.col(words).contains(g) for g in gates(table)))
     tried = F.filter(_rule_table(table), lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col(words), k)))
     found = F.flatten(F.transform(tried, lambda r: _places(F.col(words), r)))
     scanned = docs.withColumn(words, word_text(F.col(text))).withColumn(
