@@ -66,13 +66,30 @@ class MerkleTree:
         return materialize(nodes.select("node", F.sha2(F.array_join(texts, ","), 256).alias("hash")), f"{name}-level")
 
 
+def _unmatched(records: DataFrame, other: DataFrame) -> DataFrame:
+    """Records without an equal one (file, id, length and digest) in the other archive, wherever it lies there.
+
+    Of equal records, as many stay as the other archive has fewer. ``nth`` numbers what stays of one id.
+    """
+    same = ["file", "record_id", "length", "digest"]
+    matched = other.groupBy(same).agg(F.count("*").alias("there"))
+    on = [records[c].eqNullSafe(matched[c]) for c in same]
+    nth = F.row_number().over(Window.partitionBy(same).orderBy("offset"))
+    left = (records.withColumn("nth", nth).join(matched, on, "left").where(F.col("nth") > F.coalesce("there", F.lit(0)))
+            .select(*[records[c] for c in (*same, "offset")]))
+    return left.withColumn("nth", F.row_number().over(Window.partitionBy("file", "record_id").orderBy("offset", "digest")))
+
+
 def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
     """(file, offset, record_id, length, digest, replica_digest, damage) of the records in which two archives differ.
 
     ``damage`` is changed, missing (in the replica) or extra. Both are tables as ``archived`` gives. Roots are compared
     first; only below nodes that differ are the next level's nodes compared, and records only in ranges that differ.
-    Equal archives, two empty ones too, give no row.
+    There they are matched by id, so records that an inserted, lost or longer one has moved are no damage. Of records
+    that repeat an id, equal ones are matched first, the rest in their order. ``offset`` and ``length`` are the original's,
+    an extra record's its own. Equal archives, two empty ones too, give no row. Other columns are not read.
     """
+    original, replica = (x.select("record_id", "file", "offset", "length", "digest") for x in (original, replica))
     places = original.select("file").union(replica.select("file")).agg(F.max("file")).first()[0]
     top = ((places if places is not None else 0) + 2) * FILE_RANGES
     levels = -(-top.bit_length() // _BITS)
@@ -84,11 +101,20 @@ def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
         both = a.join(b.withColumnRenamed("hash", "their_hash"), "node", "full")
         bad = materialize(both.where(~F.col("hash").eqNullSafe(F.col("their_hash"))).select(F.col("node").alias("parent")),
                           "differing")
-    a, b = (t.records.join(bad, F.col("place") == F.col("parent"), "left_semi").drop("place") for t in (ours, theirs))
-    b = b.withColumnsRenamed({"digest": "replica_digest", "record_id": "their_id", "length": "their_length"})
-    damage = (F.when(F.col("replica_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra")
-              .otherwise("changed"))
-    return (a.join(b, ["file", "offset"], "full").where(~F.col("digest").eqNullSafe(F.col("replica_digest")))
-            .select("file", "offset", F.coalesce("record_id", "their_id").alias("record_id"),
-                    F.coalesce("length", "their_length").alias("length"), "digest", "replica_digest",
-                    damage.alias("damage")))
+    a, b = (materialize(t.records.join(bad, F.col("place") == F.col("parent"), "left_semi").drop("place"), "suspects")
+            for t in (ours, theirs))
+    lost, found = _unmatched(a, b), _unmatched(b, a)
+    found = found.select(F.col("file").alias("their_file"), F.col("record_id").alias("their_id"), F.col("nth").alias("their_nth"),
+                         F.col("offset").alias("their_offset"), F.col("length").alias("their_length"),
+                         F.col("digest").alias("replica_digest"))
+    on = ((F.col("file") == F.col("their_file")) & F.col("record_id").eqNullSafe(F.col("their_id"))
+          & (F.col("nth") == F.col("their_nth")))
+    damage = (F.when(F.col("their_file").isNull(), "missing").when(F.col("file").isNull(), "extra").otherwise("changed"))
+    is_extra = F.col("file").isNull()
+
+    def either(ours: str, theirs: str) -> Column:
+        return F.when(is_extra, F.col(theirs)).otherwise(F.col(ours)).alias(ours)
+
+    return lost.join(found, on, "full").select(
+        either("file", "their_file"), either("offset", "their_offset"), either("record_id", "their_id"),
+        either("length", "their_length"), "digest", "replica_digest", damage.alias("damage"))
