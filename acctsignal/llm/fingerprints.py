@@ -82,34 +82,39 @@ def first_edit(a: Node, b: Node) -> int:
     return before
 
 
-def _rest(a: Node, b: Node) -> tuple[Counter, int]:
-    """Characters of the leaves by hash, minus those under a common branch; characters under common branches."""
-    if a.digest == b.digest:
-        return Counter(), a.chars
-    known, common, left = Counter(p.digest for p in b.parts), 0, Counter()
-    for part in a.parts:
-        if known[part.digest]:
-            known[part.digest] -= 1
-            common += part.chars
-        else:
-            for leaf in leaves(part):
-                left[leaf.digest, leaf.chars] += 1
-    return left, common
-
-
-def likeness(a: Node, b: Node) -> float:
-    """Share of the longer text's characters that lie in branches or leaves of both; 1 for equal texts."""
-    if a.digest == b.digest:
-        return 1.0
-    left_a, common = _rest(a, b)
-    left_b, _ = _rest(b, a)
-    common += sum(leaf[1] * n for leaf, n in (left_a & left_b).items())
-    return common / max(a.chars, b.chars, 1)
+def as_text(tree: Node) -> str:
+    """A fingerprint: the root in hexadecimal, then each section's shortened hash with its leaves' hashes and sizes."""
+    return ":".join([tree.digest.hex(), *(
+        ",".join([s.digest[:4].hex(), *(f"{leaf.digest[:4].hex()}.{leaf.chars}" for leaf in leaves(s))]) for s in tree.parts)])
 
 
-def as_text(tree: Node) -> str:
-    """The root in hexadecimal, and after it the sections' hashes, shortened."""
-    return ":".join([tree.digest.hex(), *(s.digest[:4].hex() for s in tree.parts)])
+def _leaves_of(sections: Counter) -> Counter:
+    """How often the sections have each leaf, by hash and size."""
+    found: Counter = Counter()
+    for section, times in sections.items():
+        for leaf in section.split(",")[1:]:
+            found[leaf] += times
+    return found
+
+
+def _chars(of: Counter) -> int:
+    return sum(int(leaf.rpartition(".")[2]) * times for leaf, times in of.items())
+
+
+def likeness(a: str, b: str) -> float:
+    """How alike two fingerprints are: the share of the longer text's characters in branches or leaves of both; 1 for equal roots.
+
+    Leaves are only compared below sections that differ.
+    """
+    (root_a, *of_a), (root_b, *of_b) = a.split(":"), b.split(":")
+    if root_a == root_b:
+        return 1.0
+    of_a, of_b = Counter(of_a), Counter(of_b)
+    same = of_a & of_b
+    common = _chars(_leaves_of(same))
+    left_a, left_b = _leaves_of(of_a - same), _leaves_of(of_b - same)
+    longer = max(_chars(left_a), _chars(left_b)) + common
+    return (common + _chars(left_a & left_b)) / max(longer, 1)
 
 
 def edited_text(text: str, following: str) -> str:
@@ -135,8 +140,9 @@ class _Columns:
     def compare(self, doc_id: int | None, text: str, tree: Node, following: str, following_tree: Node) -> None:
         edited = edited_text(text, following)
         edited_tree = merkle_tree(edited)
-        row = (doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), as_text(tree),
-               as_text(edited_tree), likeness(tree, edited_tree), likeness(tree, following_tree),
+        own, changed = as_text(tree), as_text(edited_tree)
+        row = (doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own, changed,
+               likeness(own, changed), likeness(own, as_text(following_tree)),
                first_edit(tree, edited_tree), len(tree.parts), sum(1 for _ in leaves(tree)))
         self.rows.append(row + (None,) * (len(self.names) - len(row)))
 
