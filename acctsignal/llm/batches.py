@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import weakref
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
@@ -51,6 +53,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: What this Python worker remembers; a worker goes on from stage to stage of a job.
+_REMEMBERING: weakref.WeakSet[Remembered | Lookup] = weakref.WeakSet()
+
+
+def forget(*but: Remembered | Lookup) -> None:
+    """Give back the memory of what earlier stages remembered in this worker, ``but`` of what is still in use."""
+    if sum(kept.clear() for kept in _REMEMBERING if not any(kept is b for b in but)):
+        gc.collect()
+
+
 class Remembered:
     """Values of strings, kept for the strings that come again.
 
@@ -63,6 +75,7 @@ class Remembered:
         self.function, self.most = function, most
         self.young: dict[str, Any] = {}
         self.old: dict[str, Any] = {}
+        _REMEMBERING.add(self)
 
     def of(self, items: Sequence[str]) -> list:
         """The values (never None) of ``items``, in their order."""
@@ -81,3 +94,32 @@ class Remembered:
                 missing[x] = self.young[x] = v
             values = [missing[x] if v is None else v for x, v in zip(items, values)]
         return values
+
+    def clear(self) -> int:
+        held, self.young, self.old = len(self.young) + len(self.old), {}, {}
+        return held
+
+
+class Lookup:
+    """Values of strings in one dictionary that holds at least those asked for last.
+
+    Cheaper than ``Remembered`` for many different strings at once: what is missing is one set difference, and callers
+    read the dictionary itself. With more than ``most`` strings it begins anew.
+    """
+
+    def __init__(self, function: Callable[[list[str]], Iterable[Any]], most: int):
+        self.function, self.most = function, most
+        self.known: dict[str, Any] = {}
+        _REMEMBERING.add(self)
+
+    def holding(self, items: set[str]) -> dict[str, Any]:
+        """A dictionary with the values of all ``items``."""
+        missing = list(items.difference(self.known))
+        if len(self.known) + len(missing) > self.most and missing:
+            self.known, missing = {}, list(items)
+        self.known.update(zip(missing, self.function(missing)))
+        return self.known
+
+    def clear(self) -> int:
+        held, self.known = len(self.known), {}
+        return held

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acctsignal.llm.batches import below_share, in_chunks, mix64
+from acctsignal.llm.batches import below_share, forget, in_chunks, mix64
+from acctsignal.session import materialize
 
 #: Lengths of the character n-grams; a word's edge counts as one character.
 ORDERS = (2, 3, 4, 5)
@@ -118,10 +119,11 @@ class LanguageFilters:
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to (lang, gram, count), summed over each chunk of a batch before it is sent."""
+    forget()
     for batch in batches:
         table = pd.DataFrame({"lang": batch.column("lang").to_pylist(), "text": batch.column("text").to_pylist()})
         for lang, texts in table.groupby("lang")["text"]:
-            for _, chunk in in_chunks(list(texts), 4_000_000):
+            for _, chunk in in_chunks(list(texts)):
                 codes, _ = letter_runs(chunk)
                 hashes = np.concatenate([ngram_hashes(codes, n, 0, len(codes))[1] for n in ORDERS])
                 grams, counts = np.unique(hashes, return_counts=True)
@@ -152,8 +154,9 @@ def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", key:
     chosen = F.lit(False)
     for name, n in sizes.items():
         chosen = chosen | ((F.col("lang") == name) & below_share(rows_per_language / n, F.col("key"), F.col("text")))
-    counts = (rows.where(chosen).select("lang", "text").mapInArrow(count_grams, "lang string, gram long, n long")
-              .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counts = materialize(  # read twice: for the totals, and for the filters
+        rows.where(chosen).select("lang", "text").mapInArrow(count_grams, "lang string, gram long, n long")
+        .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     languages = list(sizes)  # the most frequent first: it wins ties
     bit = F.lit(0)
     for i, name in enumerate(languages):
