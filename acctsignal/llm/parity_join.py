@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acctsignal.llm.batches import mix64
+from acctsignal.llm.batches import forget, mix64
 from acctsignal.llm.components import contract
 from acctsignal.session import materialize
 
@@ -129,6 +129,7 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[list[
 
 def _sketched(width: int, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: set[int] = set()  # sets whose pieces this task has sent, so that copies send them once
         for columns in _parts(batches):
             out: list[list] = [[], [], [], [], [], [], []]
@@ -162,6 +163,7 @@ def _batch(columns: list[list]) -> pa.RecordBatch:
 def _named(width: int):
     """(doc_id, text) to (node, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for _, texts in _parts(batches):
             nodes = []
             for text in texts:
@@ -175,6 +177,7 @@ def _named(width: int):
 def _linked(width: int, threshold: int):
     """(a, b, text_a, text_b) to (a, b, linked)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known = None, None
         for a, b, lefts, rights in _parts(batches):
             linked = []
