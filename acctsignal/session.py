@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,13 +87,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_shared_path(spark, name)
-    before = spark.conf.get(DROP_SHUFFLES, None)
-    spark.conf.set(DROP_SHUFFLES, "true")
-    try:
+    with _dropping_shuffles(spark):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(DROP_SHUFFLES)
-        else:
-            spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_lock = threading.Lock()
+_writes: dict[str, int | str | None] = {"running": 0}
+
+
+@contextmanager
+def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries go while any thread writes; the last one sets the option back."""
+    with _lock:
+        if not _writes["running"]:
+            _writes["before"] = spark.conf.get(DROP_SHUFFLES, None)
+            spark.conf.set(DROP_SHUFFLES, "true")
+        _writes["running"] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writes["running"] -= 1
+            if not _writes["running"]:
+                if _writes["before"] is None:
+                    spark.conf.unset(DROP_SHUFFLES)
+                else:
+                    spark.conf.set(DROP_SHUFFLES, _writes["before"])
