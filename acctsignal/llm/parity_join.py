@@ -6,9 +6,9 @@ follows from the sizes. Texts of similar size share a band; the band's sketches
 similar pair has an equal piece. Texts meet on equal pieces; what meets is tested by size, by a short sketch's
 Hamming distance, and at last exactly.
 
-Equal sets are one node from the start. Within a group that meets, nodes are first compared with one pivot only; when
-links have joined most of a group, the pairs that lie in different components are compared. No link is lost: a pair
-that is never compared is already connected.
+Equal sets are one node from the start. Within a group that meets, nodes are first compared with one pivot only, another one
+in each round; when links have joined most of a group, the pairs that lie in different components are compared. No link is
+lost: a pair that is never compared is already connected.
 """
 
 from __future__ import annotations
@@ -215,15 +215,15 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
 
 
-def _unsettled(members: DataFrame) -> DataFrame:
-    """Keys under which more than one component meets, with a pivot: the node with the smallest hash."""
-    return (members.withColumn("place", F.xxhash64("node")).groupBy("key")
+def _unsettled(members: DataFrame, turn: int) -> DataFrame:
+    """Keys under which more than one component meets, with a pivot: the node with the smallest hash in this turn."""
+    return (members.withColumn("place", F.xxhash64("node", F.lit(turn))).groupBy("key")
             .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("node", "place").alias("pivot"),
                  F.min_by("label", "place").alias("pivot_label")).where("low <> high").drop("low", "high"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = 5, threshold: int = 80,
-                    pivot_rounds: int = 2) -> DataFrame:
+                    pivot_rounds: int = 6) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id) of every row; linked are rows with 100 * intersection >= threshold * union.
 
     A row's set are the different ``width``-word shingles of its whole text (all words if there are fewer).
@@ -292,16 +292,21 @@ def _joined_components(ids: DataFrame, rows: DataFrame, nodes: DataFrame, member
         return materialize(moved.union(more.join(labels, "node", "left_anti")), "labels")
 
     labels = None
-    for _ in range(pivot_rounds):
+    for turn in range(pivot_rounds):
         with_label = _labelled(members, labels)
-        pairs = (with_label.join(_unsettled(with_label), "key").where("label <> pivot_label")
+        unsettled = materialize(_unsettled(with_label, turn), "unsettled")
+        if unsettled.isEmpty():
+            return labels
+        # a key whose nodes are one component stays settled
+        members = materialize(members.join(unsettled.select("key"), "key", "left_semi").select("node", "key"), "members")
+        pairs = (_labelled(members, labels).join(unsettled, "key").where("label <> pivot_label")
                  .groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("pieces")))
         best = (_with_info(pairs, info).where(_may_link(threshold)).groupBy("a")
                 .agg(F.max_by("b", F.struct("pieces", "b")).alias("b")))
         links = verified(best)
         labels = joined(labels, links)
     with_label = _labelled(members, labels)
-    open_keys = with_label.join(_unsettled(with_label).select("key"), "key", "left_semi").join(info, "node")
+    open_keys = with_label.join(_unsettled(with_label, pivot_rounds).select("key"), "key", "left_semi").join(info, "node")
     left = open_keys.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "sketch")))
     right = open_keys.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "sketch")))
     rest = left.join(right, (left["key"] == right["key"]) & (F.col("label_a") < F.col("label_b")) & _may_link(threshold))
