@@ -146,14 +146,54 @@ def op10_parity_join(spark, sf_dir):
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-@query()
+#: crc32 of a decimal id, byte by byte and bit by bit.
+_CRC32 = """(xor(list_reduce(list_prepend(4294967295::bigint, [ascii(ch)::bigint for ch in string_split(conv_id::varchar, '')]),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)),
+        lambda x, k: xor(x >> 1, case when x % 2 = 1 then 3988292384::bigint else 0 end))), 4294967295::bigint))"""
+
+
+@query(f"""with own as (
+  select conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} order by turn nulls first) as turns
+  from conversations group by conv_id),
+h as (select *, ({_CRC32} % 6)::int as h from own),
+rebuilt as (
+  select h.conv_id, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) as turns
+  from h left join own b on b.conv_id = h.conv_id - h.conv_id % 100),
+places as (select conv_id, d, turns[1:d] as prefix, d = len(turns) as is_end from rebuilt, unnest(range(0, len(turns) + 1)) t(d)),
+nodes as (
+  select prefix, any_value(d) as depth, min(conv_id) as conv_id, count(*) as n_convs,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where is_end), '')) as ends_sha256
+  from places group by prefix),
+children as (select prefix[1:depth - 1] as prefix, count(*) as n from nodes where depth > 0 group by 1),
+inner_nodes as (
+  select nodes.*, coalesce(n, 0) as n_children,
+    (n_convs - 1) * case when depth > 0 then length(nodes.prefix[depth].text) else 0 end as own
+  from nodes left join children on children.prefix = nodes.prefix),
+sums as (
+  select prefix[1:d] as prefix, sum((n_children = 0)::int)::bigint as n_leaves, sum(own)::bigint as saved_tokens
+  from inner_nodes, unnest(range(0, depth + 1)) t(d) group by 1)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+from inner_nodes n join sums on sums.prefix = n.prefix
+left join nodes p on n.depth > 0 and p.prefix = n.prefix[1:n.depth - 1]""")
 def op11_lcp_trie(spark, sf_dir):
     """Prefix trie of conversations that begin like another of their hundred."""
     own = materialize(sequences(table(spark, sf_dir, "conversations")), "sequences")
     return prefix_trie(branched(own, 100, 6))
 
 
-@query()
+@query(r"""with d as (
+  select doc_id, row_number() over () as r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (
+  select r, doc_id, i, array_to_string(w[i:i + 49], ' ') as s
+  from d, unnest(range(1, len(w) - 48)) t(i) where len(w) >= 50 and doc_id is not null),
+lowest as (select s, min(doc_id) as low from windows group by s),
+gone as (select distinct r, i + k as pos from windows join lowest using (s), unnest(range(0, 50)) t(k) where low < doc_id),
+words as (select r, unnest(w) as word, generate_subscripts(w, 1) as pos from d),
+kept as (
+  select words.r, count(*) as n, string_agg(word, ' ' order by words.pos) as kept
+  from words left join gone on gone.r = words.r and gone.pos = words.pos where gone.r is null group by words.r)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join kept using (r)""")
 def op12_window_dedup(spark, sf_dir):
     """All documents without the words of 50-word windows that a smaller id has too."""
     found = remove_repeated(table(spark, sf_dir, "documents"), 50)
