@@ -1,9 +1,9 @@
 """Byte-level BPE: encoding with a pair occurrence index, and decoding.
 
-New pieces of text are encoded together. An index holds, for each pair of neighbouring symbols, all places where
-it stands; the ranks of the pairs that occur are active. The lowest active rank is merged at all its places, which
-updates the index at the neighbouring pairs, until no rank is active. The index of short pieces is one array, whose
-pieces go up their ranks side by side; long pieces have a list of places for each rank.
+New pieces of text are encoded together. An index maps each pair of neighbouring symbols that can be merged, by its rank, to
+the list of all places where it stands in any of the pieces. The ranks that have places are active: the lowest is
+taken, merged at all its places, and the lists of the pairs that arise beside them are extended, until no rank is active.
+Places whose pair has gone since are passed over.
 """
 
 from __future__ import annotations
@@ -12,23 +12,28 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from acctsignal.llm.batches import Remembered, in_chunks, unused_name
+from acctsignal.llm.batches import Lookup, in_chunks, unused_name
 
 #: Fixed value: how the byte-level vocabulary cuts a text into pieces.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Bytes from which on a piece has lists of its own; below, a piece has few different pairs.
-LONG_PIECE = 64
+#: Below this character the expression's classes are the library's; other texts are cut by the library itself.
+_SAME_CLASSES = "\u0250"
+_MARKS = frozenset(".,;:!?")
+#: A rank with so many places is merged at all of them in array operations, else one by one.
+MANY_PLACES = 24
 #: Rank of two symbols that are not merged.
 NO_RANK = np.int32(2**31 - 1)
 #: Characters whose units are looked up together.
-_CHARS_AT_ONCE = 2_000_000
+_CHARS_AT_ONCE = 8_000_000
 #: Characters other than space and line feed that may count as white space.
 _RARE_SPACE = [c for c in map(chr, range(0x3001)) if c not in " \n" and c.isspace()]
 
@@ -64,24 +69,15 @@ class ByteBpe:
         self.sorted_ranks = np.array([self.rank_of[pair] for pair in order], np.int32)
         self.merged = np.array([merged for _, _, merged in self.merges], np.int32)
         self.symbol_of_byte = np.array(self.of_byte, np.int32)
-        self.pieces = Remembered(self.merge_all, 200_000)
-        self.units = Remembered(self.encode_units, 300_000)
-        self.first_units = Remembered(lambda texts: self.encode_units(texts, ""), 50_000)
-
-    def merge_all(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, as 32-bit numbers."""
-        encoded = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        long = np.flatnonzero(lengths > LONG_PIECE).tolist()
-        if not long:
-            return self.merge_side_by_side(encoded, lengths)
-        short = np.flatnonzero(lengths <= LONG_PIECE)
-        result: list[bytes] = [b""] * len(pieces)
-        for at, ids in zip(short.tolist(), self.merge_side_by_side([encoded[i] for i in short], lengths[short])):
-            result[at] = ids
-        for at, ids in zip(long, self.merge_by_lists([encoded[i] for i in long])):
-            result[at] = ids
-        return result
+        self.pieces = Lookup(self.merge_all, 300_000)
+        self.units = Lookup(self.encode_units, 500_000)
+        self.first_units = Lookup(lambda texts: self.encode_units(texts, ""), 50_000)
+        size = max(self.bytes_of) + 1
+        tokens = [self.bytes_of.get(i, b"") for i in range(size)]
+        self.token_sizes = np.fromiter(map(len, tokens), np.int64, size)
+        self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
+        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.library = Tokenizer.from_file(path).pre_tokenizer
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of symbols; NO_RANK if they are not merged."""
@@ -90,109 +86,102 @@ class ByteBpe:
         at[at == len(self.sorted_pairs)] = 0
         return np.where(self.sorted_pairs[at] == pairs, self.sorted_ranks[at], NO_RANK)
 
-    def merge_side_by_side(self, pieces: list[bytes], lengths: np.ndarray) -> list[bytes]:
-        """Ids of short pieces. The index holds the rank of the pair at every place, in the order of the pieces.
+    def merge_all(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, as 32-bit numbers.
 
-        Pieces do not touch each other, so each goes up its own active ranks: a round applies the lowest of every
-        piece at all its places and looks up the pairs beside them. Pieces without an active rank leave.
+        The symbols of all pieces are one linked list with gaps between pieces; a merge costs what it changes.
         """
-        symbols = self.symbol_of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
-        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
-        rank = np.full(len(symbols), NO_RANK, np.int32)
-        inside = np.flatnonzero(piece[1:] == piece[:-1])
-        rank[inside] = self.ranks(symbols[inside], symbols[inside + 1])
-        done_pieces, done_symbols = [], []
-        while len(symbols):
-            starts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
-            sizes = np.diff(np.r_[starts, len(piece)])
-            lowest = np.repeat(np.minimum.reduceat(rank, starts), sizes)
-            active = lowest != NO_RANK
-            if not active.all():
-                done_pieces.append(piece[~active])
-                done_symbols.append(symbols[~active])
-                symbols, piece, rank, lowest = symbols[active], piece[active], rank[active], lowest[active]
-                if not len(symbols):
-                    break
-            places = np.flatnonzero(rank == lowest)
-            if np.any(places[1:] == places[:-1] + 1):  # a run of one symbol: every other place, from its start
-                number = np.arange(len(places))
-                first = np.r_[True, places[1:] != places[:-1] + 1]
-                places = places[(number - np.maximum.accumulate(np.where(first, number, 0))) % 2 == 0]
-            symbols[places] = self.merged[rank[places]]
-            keep = np.ones(len(symbols), bool)
-            keep[places + 1] = False
-            symbols, piece, rank = symbols[keep], piece[keep], rank[keep]
-            places -= np.arange(len(places))  # each merge before a place has taken one symbol away
-            touched = np.r_[places, places[places > 0] - 1]
-            touched = touched[touched + 1 < len(symbols)]
-            touched = touched[piece[touched] == piece[touched + 1]]
-            rank[places] = NO_RANK
-            rank[touched] = self.ranks(symbols[touched], symbols[touched + 1])
-        if not done_pieces:
-            return [b""] * len(pieces)
-        piece = np.concatenate(done_pieces)
-        flat = np.concatenate(done_symbols)[np.argsort(piece, kind="stable")].tobytes()
-        ends = (4 * np.cumsum(np.bincount(piece, minlength=len(pieces)))).tolist()
-        return [flat[start:end] for start, end in zip([0, *ends], ends)]
-
-    def merge_by_lists(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of long pieces. Symbols are a list with links, and each rank has the list of its places, so that a
-        merge costs what it changes, however long the piece is; gaps keep pieces apart."""
-        symbols, ends = [-1], []
-        for piece in pieces:
-            symbols += map(self.of_byte.__getitem__, piece)
-            ends.append(len(symbols))
-            symbols.append(-1)
-        after = list(range(1, len(symbols) + 1))
-        before = list(range(-1, len(symbols) - 1))
-        rank_of, merges = self.rank_of, self.merges
+        if not pieces:
+            return []
+        encoded = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        ends = np.cumsum(sizes + 1)  # a gap lies before the first piece and behind each
+        symbols = np.full(int(ends[-1]) + 1, -1, np.int32)
+        inside = np.ones(len(symbols), bool)
+        inside[0] = inside[ends] = False
+        symbols[inside] = self.symbol_of_byte[np.frombuffer(b"".join(encoded), np.uint8)]
+        after = np.arange(1, len(symbols) + 1, dtype=np.int32)
+        before = np.arange(-1, len(symbols) - 1, dtype=np.int32)
         places: dict[int, list[int]] = {}
-        for at in range(len(symbols) - 1):
-            left, right = symbols[at], symbols[at + 1]
-            if left >= 0 and right >= 0 and (rank := rank_of.get(left << 32 | right)) is not None:
-                places.setdefault(rank, []).append(at)
-        active = list(places)
-        heapq.heapify(active)
+        active: list[int] = []
+
+        def index(at: np.ndarray, right: np.ndarray) -> None:
+            """Add the places ``at``, whose pair's second symbol stands at ``right``, to the lists of their ranks."""
+            both = (symbols[at] >= 0) & (symbols[right] >= 0)
+            at, found = at[both], self.ranks(symbols[at[both]], symbols[right[both]])
+            order = np.argsort(found, kind="stable")
+            order = order[:np.searchsorted(found[order], NO_RANK)]
+            at, found = at[order], found[order]
+            if not len(at):
+                return
+            cuts = [0, *(np.flatnonzero(found[1:] != found[:-1]) + 1).tolist(), len(at)]
+            listed = at.tolist()
+            for rank, a, b in zip(found[cuts[:-1]].tolist(), cuts, cuts[1:]):
+                if rank in places:
+                    places[rank] += listed[a:b]
+                else:
+                    places[rank] = listed[a:b]
+                    heapq.heappush(active, rank)
+
+        everywhere = np.arange(len(symbols) - 1)
+        index(everywhere, everywhere + 1)
+        one, next_one, last_one = memoryview(symbols), memoryview(after), memoryview(before)
+        rank_of, merges = self.rank_of, self.merges
         while active:
             rank = heapq.heappop(active)
             left, right, merged = merges[rank]
-            for at in sorted(places.pop(rank)):
+            listed = places.pop(rank)
+            if len(listed) >= MANY_PLACES and left != right:
+                at = np.array(listed, np.int64)
                 then = after[at]
-                if symbols[at] != left or symbols[then] != right:
-                    continue  # another place of this or of a lower rank has taken one of them
+                there = (symbols[at] == left) & (symbols[then] == right)
+                at, then = at[there], then[there]
                 symbols[at], symbols[then] = merged, -2
                 last = after[then]
                 after[at], before[last] = last, at
-                for place in (before[at], at):
-                    a, b = symbols[place], symbols[after[place]]
+                first = before[at]
+                index(np.concatenate((first, at)), np.concatenate((at, last)))
+                continue
+            for at in sorted(listed):
+                then = next_one[at]
+                if one[at] != left or one[then] != right:
+                    continue  # another place of this or of a lower rank has taken one of them
+                one[at], one[then] = merged, -2
+                last = next_one[then]
+                next_one[at], last_one[last] = last, at
+                for place in (last_one[at], at):
+                    a, b = one[place], one[next_one[place]]
                     if a >= 0 and b >= 0 and (new := rank_of.get(a << 32 | b)) is not None:
                         if new in places:
                             places[new].append(place)
                         else:
                             places[new] = [place]
                             heapq.heappush(active, new)
-        result, start = [], 1
-        numbers = np.array(symbols, np.int32)
-        for end in ends:
-            ids = numbers[start:end]
-            result.append(ids[ids >= 0].tobytes())
-            start = end + 1
-        return result
+        kept = symbols >= 0
+        flat, until = symbols[kept].tobytes(), (4 * np.cumsum(kept)[ends]).tolist()
+        return [flat[a:b] for a, b in zip([0, *until], until)]
+
+    def cut_plain(self, text: str) -> list[str]:
+        """The pieces that a text is cut into."""
+        if not text or max(text) < _SAME_CLASSES:
+            return PIECES.findall(text)
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
     def encode_units(self, units: list[str], lead: str = " ") -> list[bytes]:
         """Ids of texts that stand between single spaces; ``lead`` is the space before each."""
-        whole = [u.isascii() and u.isalpha() for u in units]  # a word is one piece
-        cut = [() if one else tuple(PIECES.findall(lead + u)) for u, one in zip(units, whole)]
-        different = [lead + u for u, one in zip(units, whole) if one]
-        words = len(different)
-        different += {p for pieces in cut for p in pieces}.difference(different)
-        found = self.pieces.of(different)
-        ids, of_word = dict(zip(different, found)), iter(found[:words])
-        return [next(of_word) if one else b"".join(map(ids.__getitem__, pieces)) for pieces, one in zip(cut, whole)]
+        # words, and words with a mark behind them, need no expression; a word is one piece and kept as a unit already
+        is_word = [u.isalpha() and (u.isascii() or max(u) < _SAME_CLASSES) for u in units]
+        words = [lead + u for u, one in zip(units, is_word) if one]
+        cut = [(lead + u[:-1], u[-1]) if u[-1:] in _MARKS and u[:-1].isalpha() and (u.isascii() or max(u) < _SAME_CLASSES)
+               else self.cut_plain(lead + u) for u, one in zip(units, is_word) if not one]
+        ids = self.pieces.holding(set(chain.from_iterable(cut)))
+        of_word, of_other = iter(self.merge_all(words)), iter([b"".join(map(ids.__getitem__, pieces)) for pieces in cut])
+        return [next(of_word) if one else next(of_other) for one in is_word]
 
     def encode_plain(self, text: str) -> bytes:
         """Ids of a text without special tokens, whatever its white space."""
-        return b"".join(self.pieces.of(PIECES.findall(text)))
+        pieces = self.cut_plain(text)
+        return b"".join(map(self.pieces.holding(set(pieces)).__getitem__, pieces))
 
     def encode_special(self, text: str) -> bytes:
         """Ids of a text in which the special tokens' strings are these tokens."""
@@ -208,15 +197,20 @@ class ByteBpe:
         special = [any(s in t for s in self.special) for t in texts]
         simple = [not (s or "  " in t or "\n \n" in t or any(c in t for c in _RARE_SPACE)) for s, t in zip(special, texts)]
         units = [t.split(" ") if ok else [""] for t, ok in zip(texts, simple)]
-        firsts = self.first_units.of([u[0] for u in units])
-        different = list({u for of_text in units for u in of_text[1:]})
-        known = dict(zip(different, self.units.of(different)))
-        return [first + b"".join(map(known.__getitem__, u[1:])) if ok else
+        first_of = self.first_units.holding({u[0] for u in units})
+        known = self.units.holding(set(chain.from_iterable(u[1:] for u in units)))
+        return [first_of[u[0]] + b"".join(map(known.__getitem__, u[1:])) if ok else
                 self.encode_special(t) if s else self.encode_plain(t)
-                for first, u, t, s, ok in zip(firsts, units, texts, special, simple)]
+                for u, t, s, ok in zip(units, texts, special, simple)]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        """The tokens' bytes one after the other, gathered from one table of all tokens."""
+        sizes = self.token_sizes[ids]
+        ends = np.cumsum(sizes)
+        if not len(ends):
+            return ""
+        shift = np.repeat(self.token_starts[ids] - (ends - sizes), sizes)
+        return self.token_bytes[np.arange(ends[-1]) + shift].tobytes().decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=4)
@@ -246,6 +240,6 @@ def decode_ids(docs: DataFrame, path: str, ids: str = "ids", text: str = "decode
     @F.arrow_udf("string")
     def decode(arrays: pa.Array) -> pa.Array:
         model = byte_bpe(path)
-        return pa.array([None if a.values is None else model.decode(a.values.to_numpy().tolist()) for a in arrays], pa.string())
+        return pa.array([None if a.values is None else model.decode(a.values.to_numpy()) for a in arrays], pa.string())
 
     return docs.withColumn(text, decode(F.col(ids)))
