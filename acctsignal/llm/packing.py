@@ -14,6 +14,7 @@ from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from acctsignal.llm.batches import Remembered, in_chunks
+from acctsignal.llm.batches import Lookup, forget, in_chunks
+from acctsignal.llm.byte_bpe import byte_symbols
 
 #: Tokens packed together.
 BLOCK_TOKENS = 1_000_000
@@ -126,29 +128,22 @@ class WordTokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.pieces = Remembered(self.encode_pieces, 300_000)
-        self.words = Remembered(self.encode_words, 450_000)
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.pieces = Lookup(self.encode_pieces, 400_000)
+        self.words = Lookup(self.encode_words, 600_000)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces, each of which is one word to the tokenizer: many go through it as one text."""
-        found = []
-        for first in range(0, len(pieces), 500):
-            some = pieces[first:first + 500]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(some):
-                data, starts = ids.tobytes(), [0, *ends.tolist()]
-                found += [data[4 * a:4 * b] for a, b in zip(starts, starts[1:])]
-            else:  # a piece that isn't one word
-                found += self.encode(some)
-        return found
+        """Ids of pieces. Lowered Latin pieces are words of the tokenizer's model as they are, but for the symbols that
+        stand for their bytes; others go through the whole tokenizer."""
+        odd = [p for p in pieces if not (p.isascii() or max(p) < _LATIN_END)]
+        known = dict(zip(odd, self.encode(odd))) if odd else {}
+        tokenize, symbols = self.tokenizer.model.tokenize, self.symbols
+        return [known[p] if p in known else array("I", [t.id for t in tokenize(
+            p if p.isascii() else p.encode().decode("latin-1").translate(symbols))]).tobytes() for p in pieces]
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of words without white space; those of Latin letters are put together from their pieces' ids."""
@@ -156,23 +151,21 @@ class WordTokens:
         for w in words:
             low = w.lower()  # may hold a mark that is no letter, which then belongs to the punctuation behind it
             if not (w.isascii() or max(w) < _LATIN_END):
-                cut.append([w])
+                cut.append((w,))
             elif low.isalpha():
-                cut.append([low])
+                cut.append((low,))
             elif low[-1] in ".,;:!?" and low[:-1].isalpha():
-                cut.append([low[:-1], low[-1]])
+                cut.append((low[:-1], low[-1]))
             else:
                 cut.append(PIECES.findall(low))
-        different = list({p for pieces in cut for p in pieces})
-        ids = dict(zip(different, self.pieces.of(different)))
-        return [b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
+        ids = self.pieces.holding(set(chain.from_iterable(cut)))
+        return [ids[pieces[0]] if len(pieces) == 1 else b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit numbers."""
         plain = [not any(s in t for s in self.special) and not any(c in t for c in _UNSURE) for t in texts]
         words = [t.split() if ok else [] for t, ok in zip(texts, plain)]
-        different = list(set().union(*words))
-        known = dict(zip(different, self.words.of(different)))
+        known = self.words.holding(set().union(*words))
         return [b"".join(map(known.__getitem__, w)) if ok else self.encode([t])[0]
                 for w, t, ok in zip(words, texts, plain)]
 
@@ -197,6 +190,7 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(path)
+        forget(tokens.pieces, tokens.words)
         number = TaskContext.get().partitionId() << 36
         block, size = [], 0
 
