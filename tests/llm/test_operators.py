@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 import corpus_pipeline
-from acctsignal.llm import packing, parity_join
-from acctsignal.llm.batches import CHARS_AT_ONCE, Remembered, in_chunks, unused_name
+from acctsignal.llm import byte_bpe, packing, parity_join
+from acctsignal.llm.batches import CHARS_AT_ONCE, Lookup, Remembered, forget, in_chunks, unused_name
 from acctsignal.llm.byte_bpe import ByteBpe, decode_ids, encode_texts
 from acctsignal.llm.components import contract
 from acctsignal.llm.fingerprints import (
-    edited_text, fingerprint_edits, first_edit, leaves, likeness, merkle_tree)
+    as_text, edited_text, fingerprint_edits, first_edit, leaves, likeness, merkle_tree)
 from acctsignal.llm.fixity import archived, audit
 from acctsignal.llm.language import fit_languages, predict_language
-from acctsignal.llm.license_rules import BASE, rules
+from acctsignal.llm.license_rules import BASE, gates, rules
 from acctsignal.llm.licenses import license_summary, scan_licenses
 from acctsignal.llm.packing import best_counts, pack_block, pack_documents
 from acctsignal.llm.parity_join import bands, near_duplicates, one_per_group, words_of
@@ -78,6 +78,21 @@ def test_remembered_values_and_bound():
     assert len(known.young) <= 4 and len(known.old) <= 4
 
 
+def test_lookup_and_forgetting():
+    asked = []
+    known = Lookup(lambda items: (asked.append(sorted(items)), [len(x) for x in items])[1], most=3)
+    other = Remembered(lambda items: [1] * len(items))
+    other.of(["x"])
+    assert known.holding({"a", "bb"}) == {"a": 1, "bb": 2}
+    assert known.holding({"bb", "ccc"})["ccc"] == 3 and asked == [["a", "bb"], ["ccc"]]
+    assert known.holding({"bb", "d", "e"}) == {"bb": 2, "d": 1, "e": 1} and known.holding(set()) == known.known
+    assert len(known.holding(set("uvwxyz"))) == 6
+    forget(known)
+    assert len(known.known) == 6 and not other.young
+    forget()
+    assert not known.known
+
+
 def test_chunks_keep_order_and_names_are_unused(edge):
     items = ["x" * n for n in (5, 0, CHARS_AT_ONCE * 2, 3)]
     assert [t for _, chunk in in_chunks(items) for t in chunk] == items
@@ -141,6 +156,16 @@ def test_license_detections_and_hiding(spark, edge, empty):
         "under the GNU General Public License, version 3.": ("", "gpl-3"),
         "SPDX-License-Identifier: Apache-2.0": ("", "apache-2"),
         "limit license version": ("", ""),
+        "License: MIT": ("", "mit"),
+        "This is released under MIT": ("", "mit"),
+        "This project is MIT licensed": ("", "mit"),
+        "GFDL 1.3": ("", "gfdl"),
+        "Affero GPL 3": ("", "agpl-3"),
+        "Released under the three-clause BSD": ("", "bsd-3-clause"),
+        "CC Zero 1.0 Universal": ("", "cc0"),
+        "All advertising materials mentioning features or use of this software must display the following "
+        "acknowledgement": ("", "bsd-4-clause"),
+        "permit the example coupling of templates under pressure": ("", ""),
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
         "hereby granted, provided that": ("", "isc"),
     }
@@ -153,6 +178,28 @@ def test_license_detections_and_hiding(spark, edge, empty):
     assert scan_licenses(empty).count() == 0
 
 
+def test_every_keyword_has_a_gate(spark):
+    """Rules found behind gates and keywords are all that match; hiding equals a quadratic comparison."""
+    table = rules()
+    assert all(any(g in k for g in gates(table)) for r in table for k in r.keywords)
+    random = np.random.default_rng(3)
+    parts = ["under the MIT license", "apache license version 2", "cc by nc sa", "licensed under the terms of the", "GNU",
+             "general public license v2", "lesser", "all rights reserved", "bsd", "3-clause BSD license", "MPL 2.0", "of", ",", "gpl 3"]
+    made = [" ".join(random.choice(parts, random.integers(1, 9))) for _ in range(120)]
+    rows = scan_licenses(spark.createDataFrame([(t,) for t in made], "text string")).select("text", "licenses.*").collect()
+    for r in rows:
+        words = " " + " ".join(WORDS.findall(r.text.translate(LOWER))) + " "
+        expected = sorted((words[:m.start()].count(" ") - 1, words[:m.end()].count(" ") - 1, rule.name)
+                          for rule in table for m in re.finditer(f"(?<= )(?:{rule.regex})(?= )", words))
+        assert sorted((d.start, -d.back, d.name) for d in r.found) == expected
+        kept = [d for d in r.found if not any(
+            (o.start, o.back) != (d.start, d.back) and o.start <= d.start and o.back <= d.back and o.priority >= d.priority
+            for o in r.found)]
+        spans = lambda ds: {(d.start, d.back, max(o.priority for o in ds if (o.start, o.back) == (d.start, d.back)))
+                            for d in ds}
+        assert spans(r.kept) == spans(kept)
+
+
 def test_license_rules_are_many_and_named_once():
     names = [r.name for r in rules()]
     assert len(names) == len(set(names)) > 200
@@ -177,6 +224,26 @@ def test_audit_finds_what_differs_and_nothing_else(spark):
     assert audit(original, original.limit(0)).count() == 501
 
 
+def test_audit_of_longer_inserted_and_repeated_records(spark):
+    """What only moved is no damage; records longer than a range, repeated ids, clashing columns."""
+    rows = [(i, f"u{i}", "y" * (i % 5) * 30_000) for i in range(200)] + [(7, "u7", "again"), (7, "u7", "again"), (None, "n", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("place", "node", "nth", "HASH", "parent"):
+        pages = pages.withColumn(name, F.lit("mine"))
+
+    def damage(change):
+        found = audit(archived(pages, 1000).withColumn("place", F.lit(1)), archived(change(pages), 1000)).collect()
+        return sorted((r.record_id, r.damage) for r in found)
+
+    longer = lambda p: p.withColumn("html", F.when(F.col("page_id") == 50, F.concat("html", F.lit("!"))).otherwise(F.col("html")))
+    assert damage(longer) == [(50, "changed")]
+    assert damage(lambda p: p.where("page_id is null or page_id <> 3")) == [(3, "missing")]
+    assert damage(lambda p: p.union(p.where("page_id = 9").withColumn("html", F.lit("other")))) == [(9, "extra")]
+    assert damage(lambda p: p.dropDuplicates()) == [(7, "missing")]
+    assert damage(lambda p: p.where("page_id is not null")) == [(None, "missing")]
+    assert damage(lambda p: longer(p).where("page_id is null or page_id <> 190")) == [(50, "changed"), (190, "missing")]
+
+
 # 4 shards
 
 
@@ -215,14 +282,57 @@ def test_shard_edge_cases(spark, edge, empty):
 # 5 fingerprints
 
 
+def plain_fingerprint(text):
+    """The tree built from the leaves up, with own code."""
+    def digest(data):
+        return hashlib.blake2b(data, digest_size=16).digest()
+
+    sections, paragraphs, at = [], [], 0
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        while stop < len(text) and text[stop] == "\n":
+            stop += 1
+        rest, parts = text[at:stop], []
+        while rest:
+            found = re.match(r".{80,400}?(?:[.!?]\s+|$)|.{400}\S{0,400}\s*|.+", rest, re.S)
+            leaf = found.group()
+            parts.append((digest(leaf.encode()), len(leaf)))
+            rest = rest[len(leaf):]
+        node = digest(b"p" + b"".join(d for d, _ in parts))
+        paragraphs.append((node, parts))
+        if text[at:stop].endswith("\n\n") or node[0] % 8 == 0 or stop == len(text):
+            leaves_below = ",".join(f"{d[:4].hex()}.{n}" for _, below in paragraphs for d, n in below)
+            section = digest(b"s" + b"".join(n for n, _ in paragraphs))
+            sections.append((section, leaves_below))
+            paragraphs = []
+        at = stop
+    return ":".join([digest(b"d" + b"".join(d for d, _ in sections)).hex(), *(f"{d[:4].hex()},{x}" for d, x in sections)])
+
+
+def plain_likeness(a, b):
+    if a.split(":")[0] == b.split(":")[0]:
+        return 1.0
+    own, other = (sorted(x for s in f.split(":")[1:] for x in s.split(",")[1:]) for f in (a, b))
+    size = lambda found: sum(int(x.split(".")[1]) for x in found)
+    left, common = list(other), 0
+    for leaf in own:
+        if leaf in left:
+            left.remove(leaf)
+            common += size([leaf])
+    return common / max(size(own), size(other), 1)
+
+
 def test_fingerprints_of_all_texts(spark, sf_dir, texts):
     rows = {r["doc_id"]: r for r in query(spark, sf_dir, "op5_merkle_fingerprints")}
     ids = sorted(texts)
     for doc_id, following in zip(ids, [*ids[1:], ids[0]]):
         edited, r = edited_text(texts[doc_id], texts[following]), rows[doc_id]
         assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and r["n_chars"] == len(texts[doc_id])
-        assert r["near_edited"] == likeness(merkle_tree(texts[doc_id]), merkle_tree(edited))
-        assert r["near_next"] == likeness(merkle_tree(texts[doc_id]), merkle_tree(texts[following]))
+        assert r["fingerprint"] == plain_fingerprint(texts[doc_id]) and r["edited_fingerprint"] == plain_fingerprint(edited)
+        # from the returned strings alone
+        assert r["near_edited"] == pytest.approx(plain_likeness(r["fingerprint"], r["edited_fingerprint"]))
+        assert r["near_next"] == pytest.approx(plain_likeness(r["fingerprint"], rows[following]["fingerprint"]))
     by_text = collections.defaultdict(set)
     for doc_id in ids:
         by_text[texts[doc_id]].add(rows[doc_id]["fingerprint"])
@@ -233,11 +343,11 @@ def test_trees_locate_edits(texts):
     for text in [*list(texts.values())[:30], LONG, "", "x" * 5000, "\n\n\n"]:
         tree = merkle_tree(text)
         assert sum(leaf.chars for leaf in leaves(tree)) == tree.chars == len(text)
-        assert likeness(tree, merkle_tree(text)) == 1 and first_edit(tree, merkle_tree(text)) == -1
+        assert likeness(as_text(tree), as_text(merkle_tree(text))) == 1 and first_edit(tree, merkle_tree(text)) == -1
     text = "\n".join(f"Paragraph {i} says that {i * i} is a square." for i in range(100))
     other = text.replace("Paragraph 60 says", "Paragraph 60 said")
     at = first_edit(merkle_tree(text), merkle_tree(other))
-    assert 0 <= text.index("Paragraph 60") - at < 100 and likeness(merkle_tree(text), merkle_tree(other)) > 0.95
+    assert 0 <= text.index("Paragraph 60") - at < 100 and likeness(as_text(merkle_tree(text)), as_text(merkle_tree(other))) > 0.95
 
 
 def test_fingerprint_edge_cases(edge, empty):
@@ -273,10 +383,48 @@ def test_odd_texts_are_cut_as_by_the_library():
         ids = np.frombuffer(own.encode([text])[0], np.int32).tolist()
         assert ids == library.encode(text, add_special_tokens=False).ids
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    assert own.decode(np.zeros(0, np.int32)) == ""
     assert [np.frombuffer(x, np.int32).tolist() for x in own.encode(["a b", "", "c  d <|endoftext|>"])] == [
         library.encode(t, add_special_tokens=False).ids for t in ("a b", "", "c  d <|endoftext|>")]
 
 
+def test_every_code_point_is_cut_as_by_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = tokenizers.Tokenizer.from_file(path), ByteBpe(path)
+    texts = [f"x{c}'d 5{c}'re {c}ab" for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000)])]
+    expected = library.encode_batch_fast(texts, add_special_tokens=False)
+    wrong = [t for t, e, ids in zip(texts, expected, own.encode(texts)) if e.ids != np.frombuffer(ids, np.int32).tolist()]
+    assert not wrong
+
+
+def plain_bpe(own, piece):
+    """The lowest rank of neighbours is merged from the left, until none is left."""
+    symbols = [own.of_byte[b] for b in piece.encode()]
+    while True:
+        ranks = [own.rank_of.get(a << 32 | b, 1 << 60) for a, b in zip(symbols, symbols[1:])]
+        if not ranks or min(ranks) == 1 << 60:
+            return symbols
+        rank = min(ranks)
+        left, right, merged = own.merges[rank]
+        at = 0
+        while at < len(symbols) - 1:
+            if symbols[at] == left and symbols[at + 1] == right:
+                symbols[at:at + 2] = [merged]
+            at += 1
+
+
+@pytest.mark.parametrize("many", [1, 3, 10**9])
+def test_pair_index_merges_in_order(monkeypatch, many):
+    """Runs of one symbol, long and repeated pieces; with few and with many places at a time."""
+    monkeypatch.setattr(byte_bpe, "MANY_PLACES", many)
+    own = ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    random = np.random.default_rng(7)
+    pieces = ["".join(random.choice(list("aeinst h"), random.integers(1, 40))) for _ in range(300)]
+    pieces += ["a" * n for n in range(1, 30)] + ["  " * 20, "the" * 200, "x"]
+    assert [np.frombuffer(x, np.int32).tolist() for x in own.merge_all(pieces)] == [plain_bpe(own, p) for p in pieces]
+    assert own.merge_all([]) == []
+
+
 def test_bpe_edge_cases(edge, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     encoded = encode_texts(edge, path)
