@@ -143,7 +143,7 @@ class WordTokens:
         known = dict(zip(odd, self.encode(odd))) if odd else {}
         tokenize, symbols = self.tokenizer.model.tokenize, self.symbols
         return [known[p] if p in known else array("I", [t.id for t in tokenize(
-            p if p.isascii() else p.encode().decode("latin-1").translate(symbols))]).tobytes() for p in pieces]
+            p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(symbols))]).tobytes() for p in pieces]
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of words without white space; those of Latin letters are put together from their pieces' ids."""

@@ -434,6 +434,13 @@ def test_bpe_edge_cases(edge, empty):
     assert decode_ids(encode_texts(empty, path), path).count() == 0
 
 
+def test_packed_ids_of_odd_words_are_the_librarys():
+    own = packing.word_tokens(public_tokenizers.path("word_bpe_49k.json"))
+    odd = ["a" + c + "b " + c + ". " + c * 2 for c in map(chr, range(1, 0x600))] + ["İstanbul. ÀÉ'll 12ab ª º ǆ ß ŉ", "日本 a1b2 x́y é́"]
+    expected = own.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
+    assert [np.frombuffer(x, np.uint32).tolist() for x in own.ids(odd)] == [e.ids for e in expected]
+
+
 # 7 quality
 
 
