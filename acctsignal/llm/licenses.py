@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acctsignal.llm.batches import unused_name
-from acctsignal.llm.license_rules import PRIORITIES, Rule, gates, rules
+from acctsignal.llm.license_rules import GATES, PRIORITIES, Rule, rules
 
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _MATCH, _END = "\u0001", "\u0002"  # no word holds them
@@ -85,7 +85,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", table: list[Rule] | None
     table = table or rules()
     given = docs.columns
     words, spans = unused_name(docs, "words"), unused_name(docs, "spans")
-    any_gate = reduce(lambda a, b: a | b, (F.col(words).contains(g) for g in gates(table)))
+    any_gate = reduce(lambda a, b: a | b, (F.col(words).contains(g) for g in GATES))
     tried = F.filter(_rule_table(table), lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col(words), k)))
     found = F.flatten(F.transform(tried, lambda r: _places(F.col(words), r)))
     scanned = docs.withColumn(words, word_text(F.col(text))).withColumn(

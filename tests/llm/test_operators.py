@@ -20,7 +20,7 @@ from acctsignal.llm.fingerprints import (
     as_text, edited_text, fingerprint_edits, first_edit, leaves, likeness, merkle_tree)
 from acctsignal.llm.fixity import archived, audit
 from acctsignal.llm.language import fit_languages, predict_language
-from acctsignal.llm.license_rules import BASE, gates, rules
+from acctsignal.llm.license_rules import BASE, rules
 from acctsignal.llm.licenses import license_summary, scan_licenses
 from acctsignal.llm.packing import best_counts, pack_block, pack_documents
 from acctsignal.llm.parity_join import bands, near_duplicates, one_per_group, words_of
@@ -178,10 +178,9 @@ def test_license_detections_and_hiding(spark, edge, empty):
     assert scan_licenses(empty).count() == 0
 
 
-def test_every_keyword_has_a_gate(spark):
+def test_gates_and_keywords_hide_no_match(spark):
     """Rules found behind gates and keywords are all that match; hiding equals a quadratic comparison."""
     table = rules()
-    assert all(any(g in k for g in gates(table)) for r in table for k in r.keywords)
     random = np.random.default_rng(3)
     parts = ["under the MIT license", "apache license version 2", "cc by nc sa", "licensed under the terms of the", "GNU",
              "general public license v2", "lesser", "all rights reserved", "bsd", "3-clause BSD license", "MPL 2.0", "of", ",", "gpl 3"]
