@@ -131,6 +131,17 @@ def test_inversions_edge_cases(spark):
     assert {r.user_id: r.inversions for r in found.collect()} == {1: 0, 2: 1, 3: 1, 4: 0, 5: 1}
 
 
+def test_inversions_are_dealt_out_by_rows(posts):
+    """The partitions follow the number of rows, not what a shuffle makes of their bytes."""
+    rows = posts.withColumn("at", F.expr("(tweet_id * 7919) % 97"))
+    few = count_inversions(rows, "user_id", P.POST_ORDER, F.col("at"), 70)
+    many = count_inversions(rows, "user_id", P.POST_ORDER, F.col("at"), 70, rows_per_task=40)
+    text = many._jdf.queryExecution().toString()
+    assert "RepartitionByExpression" in text and ", 38" in text  # 1,500 rows
+    assert sorted(few.collect()) == sorted(many.collect())
+    assert {r.user_id: r.inversions for r in many.collect()} == plain_inversions(rows.collect(), lambda r: r.at)
+
+
 def test_running_sum(posts):
     rows = posts.withColumn("slice", F.expr("tweet_id div 100"))
     got = O.add_running_sum(rows, ["user_id"], "slice", ["tweet_id"], F.lit(1), "n")
