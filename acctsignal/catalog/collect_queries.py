@@ -252,11 +252,17 @@ def tracked_keywords(spark, sf_dir):
 
 # ---- streams -----------------------------------------------------------------------------------
 
+# Posts of one file, which one task writes.
+POSTS_PER_FILE = 250_000
+
+
 def _message_files(spark, sf_dir):
-    """The messages as JSON files in a folder to stream from."""
+    """The messages as JSON files in a folder to stream from, four at least; with their number."""
     path = new_shared_path(spark, "messages")
-    messages(spark, sf_dir).repartition(4, "id").write.json(path)
-    return path
+    posts = messages(spark, sf_dir)
+    files = max(4, posts.count() // POSTS_PER_FILE + 1)
+    posts.repartition(files, "id").write.json(path)
+    return path, files
 
 
 _STREAMED = "messages as (select * from tweets where tweet_id % 10 <> 9)"
@@ -268,7 +274,7 @@ from messages""")
 def collection_progress(spark, sf_dir):
     """Counts after a stream is stored and every third account is marked as fetched."""
     store = C.AccountStore(spark, new_shared_path(spark, "store"))
-    posts = C.read_post_stream(spark, _message_files(spark, sf_dir))
+    posts = C.read_post_stream(spark, _message_files(spark, sf_dir)[0])
     C.collect_accounts(posts, store, new_shared_path(spark, "checkpoint")).awaitTermination()
     store.mark_fetched(store.work_list().where("id % 3 = 0"))
     return store.progress()
@@ -280,12 +286,13 @@ def collection_progress(spark, sf_dir):
 select distinct 1000000 + user_id as id, 'u' || user_id as screen_name, 'en' as language from messages
 union select a.id, a.screen_name, a.lang from pointed p join accounts a on a.id = p.id where p.id <> p.user_id""")
 def stream_accounts(spark, sf_dir):
-    """Authors and mentioned accounts of a stream of files, each stored once.
+    """Authors and mentioned accounts of a stream of files in two batches, each stored once.
 
     Authors' ids are moved away from those that are mentioned, so every mentioned account comes from the lookup.
     """
     store = C.AccountStore(spark, new_shared_path(spark, "store"))
-    posts = C.read_post_stream(spark, _message_files(spark, sf_dir), files_per_batch=2)
+    path, files = _message_files(spark, sf_dir)
+    posts = C.read_post_stream(spark, path, files_per_batch=-(-files // 2))
     moved = F.col("user").withField("id", F.col("user.id") + 1_000_000)
     known = view(spark, sf_dir, "accounts").select(*shaped(schemas.account(), {
         c: F.col(c) for c in ("id", "screen_name", "lang", "followers_count", "statuses_count")}))
@@ -299,7 +306,7 @@ def stream_accounts(spark, sf_dir):
 select distinct id::varchar as id_str from pointed where id <> user_id""")
 def stream_mentions(spark, sf_dir):
     """Mentioned ids, deduplicated in the stream's state and appended as JSON."""
-    posts = C.tracked(C.read_post_stream(spark, _message_files(spark, sf_dir)))
+    posts = C.tracked(C.read_post_stream(spark, _message_files(spark, sf_dir)[0]))
     path = new_shared_path(spark, "mentions")
     C.append_stream(C.once(C.mentioned(posts), "id_str"), path,
                     new_shared_path(spark, "checkpoint")).awaitTermination()
@@ -313,7 +320,7 @@ union select distinct a.id, a.screen_name, 'stream' from messages m join account
 where in_reply_to_user_id <> user_id""")
 def stream_hydration(spark, sf_dir):
     """Mentioned ids joined with an account dump inside the stream."""
-    posts = C.tracked(C.read_post_stream(spark, _message_files(spark, sf_dir)))
+    posts = C.tracked(C.read_post_stream(spark, _message_files(spark, sf_dir)[0]))
     ids = C.once(C.mentioned(posts), "id_str").select(
         F.col("id_str").try_cast("bigint").alias("id"), "_tbsource")
     accounts = view(spark, sf_dir, "accounts").select("id", "screen_name")

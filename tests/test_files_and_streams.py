@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from acctsignal import schemas, session, sources
+from acctsignal.catalog import collect_queries
 from acctsignal.catalog.raw import messages
 from acctsignal.plans import extract as X
 from acctsignal.streaming import collect as C
@@ -166,6 +167,20 @@ def test_post_schema_is_complete(spark):
     assert set(schemas.account().names) - {"_tbsource"} <= set(schemas.post()["user"].dataType.names)
 
 
+def test_message_files_follow_the_posts(spark, tmp_path, monkeypatch):
+    """More posts are more files, each one task's; the stream returns the same."""
+    spark.range(300).selectExpr(
+        "id as event_id", "timestamp_seconds(1700000000 + id * 60) as ts", "id % 40 as user_id", "'view' as event_type",
+        """concat('{"k": ', id * 7 % 100, '}') as props""").write.parquet(f"{tmp_path}/events.parquet")
+    few = E.queries()["stream_mentions"](spark, str(tmp_path)).collect()
+    monkeypatch.setattr(collect_queries, "POSTS_PER_FILE", 30, raising=False)
+    found = collect_queries._message_files(spark, str(tmp_path))
+    path = found if isinstance(found, str) else found[0]
+    lines = spark.read.text(path).groupBy(F.input_file_name()).count().collect()
+    assert len(lines) == 11 and sum(r["count"] for r in lines) == 300
+    assert sorted(E.queries()["stream_mentions"](spark, str(tmp_path)).collect()) == sorted(few)
+
+
 # ---- plans -------------------------------------------------------------------------------------
 
 def plan(df):
