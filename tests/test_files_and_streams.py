@@ -181,7 +181,7 @@ def test_message_files_follow_the_posts(spark, tmp_path, monkeypatch):
     assert sorted(E.queries()["stream_mentions"](spark, str(tmp_path)).collect()) == sorted(few)
 
 
-@pytest.mark.parametrize("name", ["stream_accounts"])
+@pytest.mark.parametrize("name", ["stream_accounts", "stream_hydration"])
 def test_more_posts_are_more_files(spark, tmp_path, monkeypatch, name):
     """No task writes more message posts as their number grows; the query finds the same accounts."""
     spark.range(300).selectExpr(
