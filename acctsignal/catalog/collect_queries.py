@@ -257,11 +257,14 @@ POSTS_PER_FILE = 250_000
 
 
 def _message_files(spark, sf_dir):
-    """The messages as JSON files in a folder to stream from, four at least; with their number."""
+    """The messages as JSON files in a folder to stream from, four at least; with their number.
+
+    Dealt by their place in the input, as many may share an id or have none.
+    """
     path = new_shared_path(spark, "messages")
     posts = messages(spark, sf_dir)
     files = max(4, posts.count() // POSTS_PER_FILE + 1)
-    posts.repartition(files, "id").write.json(path)
+    posts.repartition(files, F.monotonically_increasing_id()).write.json(path)
     return path, files
 
 

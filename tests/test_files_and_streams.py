@@ -204,6 +204,29 @@ def test_more_posts_are_more_files(spark, tmp_path, monkeypatch, name):
         assert spark.read.parquet(f"{paths['store']}/work").select("batch").distinct().count() == 2
 
 
+@pytest.mark.parametrize("name", ["stream_accounts", "stream_hydration"])
+@pytest.mark.parametrize("event_id", ["cast(null as bigint)", "7L", "if(id % 3 = 0, id, null)"])
+def test_files_do_not_follow_the_ids(spark, tmp_path, monkeypatch, name, event_id):
+    """Posts that share an id or have none are many tasks' as well."""
+    spark.range(300).selectExpr(
+        f"{event_id} as event_id", "timestamp_seconds(1700000000 + id * 60) as ts", "id % 40 as user_id",
+        "'view' as event_type", """concat('{"k": ', id * 7 % 100, '}') as props""").write.parquet(
+            f"{tmp_path}/events.parquet")
+    spark.range(120).selectExpr(
+        "id as c_custkey", "concat('c', id) as c_name", "id % 25 as c_nationkey", "'m' as c_mktsegment",
+    ).write.parquet(f"{tmp_path}/customer.parquet")
+    few = E.queries()[name](spark, str(tmp_path)).collect()
+    paths = {}
+    monkeypatch.setattr(collect_queries, "POSTS_PER_FILE", 30)
+    monkeypatch.setattr(collect_queries, "new_shared_path",
+                        lambda spark, what: paths.setdefault(what, session.new_shared_path(spark, what)))
+    many = E.queries()[name](spark, str(tmp_path)).collect()
+    lines = spark.read.text(paths["messages"]).groupBy(F.input_file_name()).count().collect()
+    assert len(lines) == 11 and sum(r["count"] for r in lines) == 300
+    assert max(r["count"] for r in lines) < 300 / 5
+    assert sorted(many) == sorted(few)
+
+
 # ---- plans -------------------------------------------------------------------------------------
 
 def plan(df):
