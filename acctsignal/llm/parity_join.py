@@ -7,8 +7,9 @@ similar pair has an equal piece. Texts meet on equal pieces; what meets is teste
 Hamming distance, and at last exactly.
 
 Equal sets are one node from the start. Within a group that meets, nodes are first compared with one pivot only, another one
-in each round; when links have joined most of a group, the pairs that lie in different components are compared. No link is
-lost: a pair that is never compared is already connected.
+in each round; when links have joined most of a group, those pairs that lie in different components are compared that have
+as many equal pieces as a similar pair cannot be without. No link is lost: a pair that is never compared is already connected
+or has too few equal pieces.
 """
 
 from __future__ import annotations
@@ -71,7 +72,12 @@ def bands(threshold: int, most: int = 1 << 40) -> list[tuple[int, int, int]]:
 
 
 def piece_keys(hashes: np.ndarray, threshold: int) -> np.ndarray:
-    """Keys of the sketch's pieces in each band of the set's size.
+    """Keys of the sketch's pieces in each band of the set's size."""
+    return keys_and_need(hashes, threshold)[0]
+
+
+def keys_and_need(hashes: np.ndarray, threshold: int) -> tuple[np.ndarray, int]:
+    """Keys of the sketch's pieces in each band of the set's size, and the set's need of equal ones.
 
     A piece's key is the XOR of a code for each of its set bits, so shingles that flip the same bit cancel. A band has
     D + 1 pieces and some to spare. A set of n shingles differs from similar sets that are not smaller in at most
@@ -79,8 +85,12 @@ def piece_keys(hashes: np.ndarray, threshold: int) -> np.ndarray:
     two similar sets the smaller one's pieces are among the larger one's. Pieces without a set bit are left out unless
     there are more of them than spare ones: two similar sets agree in a piece that is not empty, or both keep their
     empty ones.
+
+    Of the smaller set's pieces, one and the spare ones at least are equal, if the sets are similar. Those that are
+    empty in both are no common keys if one of the sets leaves them out, and they are at most as many as it leaves out.
+    So similar sets have at least as many common keys as the lesser of their needs.
     """
-    keys = []
+    keys, needs = [], []
     for k, (low, high, most) in enumerate(bands(threshold)):
         if low > len(hashes):
             break
@@ -97,10 +107,12 @@ def piece_keys(hashes: np.ndarray, threshold: int) -> np.ndarray:
         np.bitwise_xor.at(parity, piece.astype(np.int64), mix64(bit + (piece << _HALF)))
         if np.count_nonzero(parity == 0) <= spare:
             number = np.flatnonzero(parity)
+            needs.append(1 + spare - (sent - len(number)))
         else:
+            needs.append(1 + spare)
             number = np.arange(sent)
         keys.append(mix64(parity[number] ^ mix64(number.astype(np.uint64) + (np.uint64(k + 1) << _HALF))))
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+    return (np.concatenate(keys), min(needs)) if keys else (np.zeros(0, np.uint64), 0)
 
 
 def short_sketch(hashes: np.ndarray) -> np.ndarray:
@@ -117,7 +129,7 @@ def set_identity(hashes: np.ndarray) -> tuple[int, int]:
     return int(total.view(np.int64)[0]), int(other.view(np.int64)[0])
 
 
-_ROWS = "doc_id long, text_key long, n long, node long, other long, keys array<long>, sketch array<long>"
+_ROWS = "doc_id long, text_key long, n long, node long, other long, need long, keys array<long>, sketch array<long>"
 
 
 def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[list[list]]:
@@ -132,23 +144,24 @@ def _sketched(width: int, threshold: int):
         forget()
         seen: set[int] = set()  # sets whose pieces this task has sent, so that copies send them once
         for columns in _parts(batches):
-            out: list[list] = [[], [], [], [], [], [], []]
+            out: list[list] = [[] for _ in range(8)]
             size = 0
             for doc_id, text, text_key in zip(*columns):
                 hashes = shingle_hashes(text, width)
                 node, other = set_identity(hashes) if len(hashes) else (None, None)
-                keys = sketch = None
+                need = keys = sketch = None
                 if node is not None and node not in seen:
                     if len(seen) >= 200_000:
                         seen.clear()
                     seen.add(node)
-                    keys, sketch = piece_keys(hashes, threshold).view(np.int64), short_sketch(hashes)
+                    keys, need = keys_and_need(hashes, threshold)
+                    keys, sketch = keys.view(np.int64), short_sketch(hashes)
                     size += len(keys)
-                for column, value in zip(out, (doc_id, text_key, len(hashes), node, other, keys, sketch)):
+                for column, value in zip(out, (doc_id, text_key, len(hashes), node, other, need, keys, sketch)):
                     column.append(value)
                 if size > 500_000:
                     yield _batch(out)
-                    out, size = [[], [], [], [], [], [], []], 0
+                    out, size = [[] for _ in range(8)], 0
             yield _batch(out)
 
     return run
@@ -156,8 +169,8 @@ def _sketched(width: int, threshold: int):
 
 def _batch(columns: list[list]) -> pa.RecordBatch:
     plain, lists = pa.int64(), pa.list_(pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [plain] * 5 + [lists] * 2)],
-                                      ["doc_id", "text_key", "n", "node", "other", "keys", "sketch"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [plain] * 6 + [lists] * 2)],
+                                      ["doc_id", "text_key", "n", "node", "other", "need", "keys", "sketch"])
 
 
 def _named(width: int):
@@ -261,7 +274,7 @@ def _joined_components(ids: DataFrame, rows: DataFrame, nodes: DataFrame, member
                        threshold: int, pivot_rounds: int) -> DataFrame | None:
     """(node, label) of the nodes that have a link to another node."""
     met = members.select("node").distinct()
-    sketches = rows.where("sketch is not null").select("node", "sketch").join(met, "node").dropDuplicates(["node"])
+    sketches = rows.where("sketch is not null").select("node", "need", "sketch").join(met, "node").dropDuplicates(["node"])
     info = materialize(nodes.select("node", "first_id", "n").join(sketches, "node"), "candidates")
     wanted = info.select(F.col("first_id").alias("wanted_id")).distinct()
     if info.count() <= MOST_BROADCAST:
@@ -272,11 +285,17 @@ def _joined_components(ids: DataFrame, rows: DataFrame, nodes: DataFrame, member
         "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return materialize(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+        pairs = materialize(pairs.select("a", "b"), "pairs")
+        few = pairs.count() <= MOST_BROADCAST
+        left, right = (texts_of(pairs.select(side).distinct(), side, few) for side in "ab")
+        return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
                            .mapInArrow(_linked(width, threshold), "a long, b long, linked boolean"), "verified")
 
+    def texts_of(ends: DataFrame, side: str, few: bool) -> DataFrame:
+        """The texts of these nodes; with few pairs only they are shuffled."""
+        own = texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
+        return own.join(F.broadcast(ends) if few else ends, side, "left_semi")
+
     def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
         """Labels after the ends of more links have become one component."""
         edges = links.where("linked").select("a", "b")
@@ -307,10 +326,12 @@ def _joined_components(ids: DataFrame, rows: DataFrame, nodes: DataFrame, member
         labels = joined(labels, links)
     with_label = _labelled(members, labels)
     open_keys = with_label.join(_unsettled(with_label, pivot_rounds).select("key"), "key", "left_semi").join(info, "node")
-    left = open_keys.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "sketch")))
-    right = open_keys.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "sketch")))
+    left, right = (open_keys.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "n", "need", "sketch")))
+                   for side in "ab")
     rest = left.join(right, (left["key"] == right["key"]) & (F.col("label_a") < F.col("label_b")) & _may_link(threshold))
-    pairs = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    # all keys that nodes of different components share are open
+    pairs = (rest.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+             .agg(F.count("*").alias("pieces"), F.min(F.least("need_a", "need_b")).alias("need")).where("pieces >= need"))
     return joined(labels, verified(pairs))
 
 

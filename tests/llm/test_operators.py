@@ -638,6 +638,44 @@ def test_bands_and_pieces_lose_no_pair():
             assert keys[0] & keys[1]
 
 
+def test_similar_sets_have_the_equal_pieces_they_need():
+    random = np.random.default_rng(9)
+    for threshold in (80, 90):
+        sizes = [n for low, high, _ in bands(threshold, 6000) for n in (low, low + 1, (low + high) // 2, high)]
+        for size in (n for n in sizes if n < 6000):
+            whole = np.unique(random.integers(1, 2**63, size).astype(np.uint64))
+            gone = random.permutation(whole)[:size * (100 - threshold) // 100]  # as unlike as a link allows
+            half = len(gone) // 2
+            for b in (np.setdiff1d(whole, gone), np.setdiff1d(whole, gone[:half])):
+                for a in (whole, np.setdiff1d(whole, gone[half:])):
+                    both = len(np.intersect1d(a, b))
+                    if 0 < threshold * (len(a) + len(b) - both) <= 100 * both:
+                        (keys, need), (others, of_other) = (parity_join.keys_and_need(x, threshold) for x in (a, b))
+                        assert 1 <= min(need, of_other) <= len(np.intersect1d(keys, others)), (size, threshold)
+
+
+def test_unlike_long_texts_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """60 long texts with a common passage and too many shingles for the short sketch, each with a near copy."""
+    random = np.random.default_rng(10)
+    passage, rows = " ".join(f"common{i}" for i in range(150)), []
+    for i in range(60):
+        words = [f"w{w}" for w in random.integers(0, 1 << 40, 2600)]
+        rows.append((i, f"{' '.join(words)} {passage}"))
+        rows.append((100 + i, f"{' '.join(words[40:])} {passage}"))
+    written, write = collections.Counter(), parity_join.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        written[name] += out.count() if name == "verified" else 0
+        return out
+
+    monkeypatch.setattr(parity_join, "materialize", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_duplicates(df, pivot_rounds=1).collect()}
+    assert got == {i: i % 100 for i, _ in rows}
+    assert written["verified"] < 3 * len(rows)
+
+
 def test_near_duplicate_edge_cases(edge, empty):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(edge).collect()}
     assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (6, 1, 6), (7, 1, 6), (9, 977, 8), (None, 1, None)} <= got
